@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knowloom.llm import mixing, splitting, tokens
+from knowloom.llm import encodings, mixing, splitting, tokens
 from knowloom.queries import table
 
 
@@ -38,8 +38,16 @@ def p7_shares(spark, d):
     return _mix(spark, d)[1]
 
 
+def p8_found(spark, d):
+    return encodings.find_garbled(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark, d):
+    return encodings.find_garbled(table(spark, d, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p6_counts, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p6_counts, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql():
