@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knowloom.llm import encodings, mixing, splitting, tokens
+from knowloom.llm import encodings, mixing, names, splitting, tokens
 from knowloom.queries import table
 
 
@@ -16,6 +16,14 @@ def p1_pieces(spark, d):
     return splitting.split_chunks(table(spark, d, "raw_chunks"))
 
 
+def p5_found(spark, d):
+    return names.linked_pairs(names.link_names(table(spark, d, "entity_records")))
+
+
+def p5_entities(spark, d):
+    return names.entity_sizes(names.link_names(table(spark, d, "entity_records")))
+
+
 def p6_ids(spark, d):
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -47,7 +55,7 @@ def p8_restored(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p6_counts, p7_mix, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_entities, p6_ids, p6_counts, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql():
