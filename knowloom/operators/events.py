@@ -82,7 +82,7 @@ def replay_gate(events: DataFrame, order: str = "seq") -> DataFrame:
     """
     kept = first_arrivals(events, order)
     dup = events.join(kept.select(order), order, "left_anti").select(order, "file_path", "event_id", F.lit("duplicate").alias("outcome"), F.lit(None).cast("bigint").alias("assigned"))
-    cols = kept.select(F.col(order).alias("seq"), "file_path", "event_id", "change_type", "version", (F.unix_micros("event_ts") / 1e6).alias("ts"))
+    cols = kept.select(F.col(order).alias("seq"), "file_path", "event_id", "change_type", "version", (F.unix_micros(F.col("event_ts").cast("timestamp")) / 1e6).alias("ts"))
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -83,7 +83,9 @@ def delete_chunks(entities: DataFrame, edges: DataFrame, source: str, stale: lis
 
 
 def stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    return entities.agg(F.count("*").alias("entities")).crossJoin(edges.agg(F.count("*").alias("relations")))  # one row each
+    """(entities, relations): both counts, 0 for empty tables."""
+    one = lambda df, e, r: df.select(F.lit(e).alias("e"), F.lit(r).alias("r"))
+    return one(entities, 1, 0).unionByName(one(edges, 0, 1)).agg(F.coalesce(F.sum("e"), F.lit(0)).alias("entities"), F.coalesce(F.sum("r"), F.lit(0)).alias("relations"))
 
 
 def keywords(questions: DataFrame, qid: str, question: str) -> DataFrame:

@@ -45,7 +45,7 @@ def stream_gate(events: DataFrame) -> DataFrame:
     State is one row per file: versions, time, and the last ids applied. An id counts as a duplicate once it was applied, so
     a skipped event may come again. Rows of a file in one micro-batch are taken in order of seq. Null paths are left out.
     """
-    x = events.where("file_path is not null").select("seq", "file_path", "event_id", "change_type", "version", (F.unix_micros("event_ts") / 1e6).alias("ts"))
+    x = events.where("file_path is not null").select("seq", "file_path", "event_id", "change_type", "version", (F.unix_micros(F.col("event_ts").cast("timestamp")) / 1e6).alias("ts"))
     return x.groupBy("file_path").applyInPandasWithState(_gate, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
