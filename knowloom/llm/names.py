@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowloom.session import materialize
+from knowloom.session import cores, materialize
 
 #: Labels of kinds, words without identity, regions, what organisations do, short forms of given names.
 PERSON_TYPES = {"person", "people", "per", "人物", "人"}
@@ -286,10 +286,15 @@ def distinct_names(df: DataFrame, id_col: str, name: str, type_: str) -> DataFra
             got = [(n, t, r, p.kind, p.core, list(p.rest), p.region) for n, t, r in b.itertuples(index=False) if (p := parse(n, t if isinstance(t, str) else None))]
             yield pd.DataFrame(got, columns=["name", "type", "rows", "kind", "core", "rest", "region"])
 
-    return d.mapInPandas(work, "name string, type string, rows bigint, kind string, core string, rest array<string>, region string")
+    # Reading names is work for the processor: as many tasks as there are cores, however small the table.
+    return d.repartition(tasks(df), "name").mapInPandas(work, "name string, type string, rows bigint, kind string, core string, rest array<string>, region string")
 
 
-def band_keys(cores: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
+def tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * cores(df.sparkSession))
+
+
+def band_keys(words: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     """(key, kind, core, n): one row per band of each core token's MinHash signature."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,7 +311,7 @@ def band_keys(cores: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
                 out.append(pd.DataFrame({"key": key.astype(np.int64), "kind": kind, "core": core, "n": n}))
             yield pd.concat(out) if out else pd.DataFrame({"key": [], "kind": [], "core": [], "n": []})
 
-    return cores.select("kind", "core", "n").mapInPandas(work, "key bigint, kind string, core string, n bigint")
+    return words.select("kind", "core", "n").repartition(tasks(words), "core").mapInPandas(work, "key bigint, kind string, core string, n bigint")
 
 
 def same_core(a: str, b: str) -> bool:
@@ -346,14 +351,13 @@ def core_links(keys: DataFrame, partitions: int) -> DataFrame:
 def core_stars(names: DataFrame, rounds: int = 3) -> DataFrame:
     """(kind, core, centre) for each core token that isn't a centre itself. Links always point to a higher rank, so following
     them ends; after `rounds` doublings chains of up to 2^rounds links have reached their centre."""
-    cores = names.groupBy("kind", "core").agg(F.sum("rows").alias("n"))
-    shuffle = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = core_links(band_keys(cores, bands_for()), shuffle)
+    words = names.groupBy("kind", "core").agg(F.sum("rows").alias("n"))
+    links = core_links(band_keys(words, bands_for()), tasks(names))
     best = links.groupBy("kind", "member").agg(F.min(F.struct("gap", (-F.col("ln")).alias("r"), "leader")).alias("b"))
     up = materialize(best.select("kind", F.col("member").alias("core"), F.col("b.leader").alias("centre")), "corelinks")
     for _ in range(rounds):
         nxt = up.select("kind", F.col("core").alias("centre"), F.col("centre").alias("c2"))
-        up = up.join(nxt, ["kind", "centre"], "left").select("kind", "core", F.coalesce("c2", "centre").alias("centre"))
+        up = materialize(up.join(nxt, ["kind", "centre"], "left").select("kind", "core", F.coalesce("c2", "centre").alias("centre")), "corelinks")
     return up
 
 
@@ -367,15 +371,25 @@ def link_names(df: DataFrame, id_col: str = "entity_id", name: str = "entity_nam
     names = materialize(distinct_names(df, id_col, name, type_), "names")
     up = core_stars(names)
     x = names.join(up, ["kind", "core"], "left").withColumn("centre", F.coalesce("centre", "core"))
-    x = x.withColumn("key", F.xxhash64("kind", "centre", "name"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        core = pdf["centre"].iloc[0]
-        got = stars([(i, Name(k, c, tuple(r), g), n) for i, (k, c, r, g, n) in enumerate(zip(pdf["kind"], pdf["core"], pdf["rest"], pdf["region"], pdf["rows"]))], core)
-        names_, types, kind = pdf["name"].tolist(), pdf["type"].tolist(), pdf["kind"].iloc[0]
-        return pd.DataFrame({"name": names_, "type": types, "cluster": [f"{kind}:{core}:{names_[got[i]]}" for i in range(len(pdf))]})
+    def flush(kind: str, core: str, group: list[tuple]) -> list[tuple]:
+        got = stars([(i, Name(kind, c, tuple(r), g), n) for i, (_, _, c, r, g, n) in enumerate(group)], core)
+        return [(n, t, f"{kind}:{core}:{group[got[i]][0]}") for i, (n, t, *_) in enumerate(group)]
 
-    starred = x.groupBy("kind", "centre").applyInPandas(work, "name string, type string, cluster string")
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group = None, []
+        for b in batches:
+            out: list[tuple] = []
+            for kind, centre, *rest in b.itertuples(index=False):
+                if (kind, centre) != key:
+                    out += flush(*key, group) if key else []
+                    key, group = (kind, centre), []
+                group.append(tuple(rest))
+            yield pd.DataFrame(out, columns=["name", "type", "cluster"])
+        if key:
+            yield pd.DataFrame(flush(*key, group), columns=["name", "type", "cluster"])
+
+    ordered = x.select("kind", "centre", "name", "type", "core", "rest", "region", "rows").repartition(tasks(df), "kind", "centre").sortWithinPartitions("kind", "centre", "name", "type")
+    starred = ordered.mapInPandas(work, "name string, type string, cluster string")
     rows = df.select(F.col(id_col).alias("id"), F.col(name).alias("n"), F.col(type_).alias("t"))
     hit = rows.join(starred, (F.col("n") == F.col("name")) & F.col("t").eqNullSafe(F.col("type")))
     return hit.select(F.col("id").alias(id_col), F.xxhash64("cluster").alias("cluster"))
