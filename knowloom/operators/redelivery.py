@@ -73,7 +73,11 @@ def screen(firsts: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def repeats_in_storage(candidates: DataFrame, storage: DataFrame) -> DataFrame:
-    """(o): the bucket-first deliveries whose identifier was delivered earlier in a matching bucket of the storage."""
+    """(o): the bucket-first deliveries whose identifier was delivered earlier in a matching bucket of the storage.
+
+    Only buckets that some candidate matched are read (their numbers are as many as there are time buckets).
+    """
+    storage = storage.where(F.col("b").isin([r[0] for r in candidates.select("other").distinct().collect()]))
     c = candidates.alias("c").join(storage.select(F.col("b").alias("other"), "id", F.col("o").alias("so")).alias("s"), ["other", "id"])
     return c.where("so < o").select("o").distinct()
 
@@ -84,7 +88,7 @@ def first_deliveries(df: DataFrame, id_col: str, order: str, bucket: Column) ->
     stored = materialize(firsts, "ids", ["b"])  # the bucketed storage
     largest = stored.groupBy("b").count().agg(F.max("count")).first()[0] or 0
     x = with_blocks(stored, max(1, math.ceil(largest / BLOCK_IDS)))
-    late = repeats_in_storage(screen(x, build_filters(x)), stored)
+    late = repeats_in_storage(materialize(screen(x, build_filters(x)), "maybe"), stored)
     return stored.select("o").join(late, "o", "left_anti")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import math
-import os
 import shutil
 import tempfile
 import uuid
@@ -12,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
 def build_session(app: str = "knowloom", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -50,29 +50,38 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/knowloom-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/knowloom-{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(clean_scratch, spark)
+    _SCRATCH.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process. Runs at its end; call it earlier once results were read."""
+    try:
+        for path in _SCRATCH:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _SCRATCH.clear()
+    except Exception:  # noqa: BLE001
+        pass  # the session is gone already
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write `df` once into the shared folder and read it back: later passes and lost executors don't recompute it."""
+    """Write `df` once into the shared folder and read it back: later passes and lost executors don't recompute it.
+
+    With partition_by, rows are rebalanced first: few files per value, and a value with many rows is split over several tasks.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    w = df.write.mode("overwrite")
+    w = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame, spark: SparkSession) -> None:
-    """Delete the scratch files that a materialized frame reads (only ever paths made by scratch_path)."""
-    hadoop = spark._jsc.hadoopConfiguration()
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        if "/knowloom-" in f:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(hadoop).delete(p, True)
-
-
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
