@@ -98,9 +98,9 @@ def scan_partitions(df: DataFrame) -> int:
 def spread(df: DataFrame, key: str, rows_per_task: int, rows: int | None = None) -> DataFrame:
     """Give CPU-heavy Python stages enough tasks when a table is stored in few files.
 
-    Leaves the plan alone when the scan already has at least the wanted number of partitions.
+    Leaves the plan alone when the scan has a partition for every core: texts aren't shuffled to make tasks smaller.
     """
     spark = df.sparkSession
     rows = row_count(df) if rows is None else rows
     want = max(min(2 * cores(spark), math.ceil(rows / 500)), math.ceil(rows / rows_per_task), 1)
-    return df if scan_partitions(df) >= want * 0.75 else df.repartition(want, key)
+    return df if scan_partitions(df) >= min(want, cores(spark)) else df.repartition(want, key)
