@@ -7,11 +7,14 @@ import math
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 _SCRATCH: list[str] = []
+_SHIPPED: dict[str, str] = {}
 
 
 def build_session(app: str = "knowloom", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -35,6 +38,21 @@ def build_session(app: str = "knowloom", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they needn't have it on their path."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="knowloom-code-")  # on the driver only; Spark copies the file to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/knowloom.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(f"{folder}/knowloom.zip")
+    _SHIPPED["app"] = sc.applicationId
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
