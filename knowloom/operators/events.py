@@ -73,25 +73,34 @@ class FileGate:
         return "applied", self.version
 
 
-def replay_gate(events: DataFrame, order: str = "seq") -> DataFrame:
+def replay_gate(events: DataFrame, order: str = "seq", marks: DataFrame | None = None) -> DataFrame:
     """(seq, file_path, event_id, outcome, assigned): the sequential gate over whole histories, also mixed ones.
 
+    marks (file_path, last_ts, last_version; see watermarks) is where files stand before these events.
     outcome: applied, duplicate (a later event with an id that was there), stale_version, stale_timestamp or unsupported.
     A file's events run through one task in order, as the gate's state depends on each of them, but as a stream: the task
     holds one batch and the state of one file. Pure histories have gates without that order (version_gate, timestamp_gate).
     """
     kept = first_arrivals(events, order)
     dup = events.join(kept.select(order), order, "left_anti").select(order, "file_path", "event_id", F.lit("duplicate").alias("outcome"), F.lit(None).cast("bigint").alias("assigned"))
-    cols = kept.select(F.col(order).alias("seq"), "file_path", "event_id", "change_type", "version", (F.unix_micros(F.col("event_ts").cast("timestamp")) / 1e6).alias("ts"))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    cols = kept.select(F.col(order).alias("seq"), "file_path", "event_id", "change_type", "version", seconds("event_ts").alias("ts"))
+    if marks is not None:
+        cols = cols.join(marks.select("file_path", F.col("last_version").alias("v0"), seconds("last_ts").alias("t0")), "file_path", "left")
+    else:
+        cols = cols.withColumns({"v0": F.lit(None).cast("bigint"), "t0": F.lit(None).cast("double")})
+    cols = cols.select("seq", "file_path", "event_id", "change_type", "version", "ts", "v0", "t0")
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, gate = None, FileGate()
         for b in batches:
             out = []
-            for s, p, e, k, v, t in b.itertuples(index=False):
+            for s, p, e, k, v, t, v0, t0 in b.itertuples(index=False):
                 if p != path:
                     path, gate = p, FileGate()
+                    gate.version = gate.ledger = None if pd.isna(v0) else int(v0)
+                    gate.ts = None if pd.isna(t0) else t0
                 out.append((s, p, e, *gate.apply(k, None if pd.isna(v) else int(v), None if pd.isna(t) else t)))
             x = pd.DataFrame(out, columns=["seq", "file_path", "event_id", "outcome", "assigned"])
             x["assigned"] = x["assigned"].astype("Int64")

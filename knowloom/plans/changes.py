@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from knowloom.functions.parsing import parse_events
 from knowloom.functions.text import doc_identity
 from knowloom.functions.versions import effective_version
-from knowloom.operators.events import chunk_diff, replay_gate, split_poison
+from knowloom.operators.events import chunk_diff, replay_gate, replayable, split_poison, unprocessed, watermarks
 from knowloom.plans.ingest import Stores, chunk_documents, knowledge
+from knowloom.plans.workflow import ATTEMPTS, Run
 from knowloom.session import materialize
 from knowloom.sources.events import dead_letter
+from knowloom.sources.stores import Log
+from knowloom.streaming.gate import run_to_end
 
 
 def gate_batch(raw: DataFrame, dead: str | None = None) -> DataFrame:
@@ -26,6 +29,46 @@ def gate_batch(raw: DataFrame, dead: str | None = None) -> DataFrame:
     return replay_gate(ev).join(ev.select("seq", "change_type"), "seq")
 
 
+def process_batch(raw: DataFrame, contents: Callable[[DataFrame], DataFrame], stores: Stores, ledger: Log, extract, embed, batch: int, dead: str | None = None, attempts: int = ATTEMPTS) -> dict:
+    """One batch of raw events (payload, seq), from text to stores and ledger; `batch` numbers rise from batch to batch.
+
+    Poison is dead-lettered. Events that succeeded before are skipped, the others go through the gate from where the ledger
+    has their files. Every event leaves its transitions in the ledger; files advance only with SUCCEEDED ones, so a failed
+    batch can be replayed: see replay. Applying the same batch twice changes nothing the second time.
+    """
+    good, bad = split_poison(parse_events(raw))
+    if dead:
+        dead_letter(bad, dead)
+    v = effective_version(F.col("event.change_version"), F.col("event.document_version"))
+    ev = materialize(good.select("seq", "payload", "event.event_id", "event.file_path", "event.change_type", "event.event_ts", v.alias("version")), "events")
+    past = ledger.history()
+    todo = unprocessed(ev, past)
+    out = materialize(replay_gate(todo, marks=watermarks(past)).select("seq", "outcome", "assigned").join(ev, "seq"), "outcomes")
+    mark = lambda rows, status, step, why=None: ledger.append(rows.withColumn("version", F.coalesce("version", F.lit(None).cast("bigint"))).withColumn("status", F.lit(status)).withColumn("failure_reason", F.lit(why)).withColumn("processed_at", F.current_timestamp()), batch * 4 + step)
+    applied = out.where("outcome = 'applied'")
+    mark(out.where("outcome <> 'duplicate'"), "RECEIVED", 0)
+    mark(applied, "PROCESSING", 1)
+    counts = {r["outcome"]: r["count"] for r in out.groupBy("outcome").count().collect()}
+    try:
+        Run(["CHANGES", "COMPLETED"]).step("apply", lambda: apply_changes(last_changes(out), contents, stores, extract, embed, batch * 4), attempts)
+        mark(applied, "SUCCEEDED", 2)
+    except Exception as e:  # noqa: BLE001
+        mark(applied, "FAILED", 2, f"{type(e).__name__}: {e}"[:500])
+        counts["failed"] = counts.pop("applied", 0)
+    return counts
+
+
+def replay(ledger: Log) -> DataFrame:
+    """(payload, seq) of failed events in their order, to be given to process_batch again."""
+    failed = replayable(ledger.history())
+    return failed.select("payload", F.unix_micros(F.coalesce("event_ts", F.lit(0).cast("timestamp"))).alias("seq"))
+
+
+def stream_changes(stream: DataFrame, contents, stores: Stores, ledger: Log, extract, embed, checkpoint: str, dead: str) -> None:
+    """Process a stream of raw events (payload, seq) to its present end, a micro-batch at a time."""
+    run_to_end(stream, lambda df, i: process_batch(df, contents, stores, ledger, extract, embed, i + 1, dead), checkpoint)
+
+
 def last_changes(outcomes: DataFrame) -> DataFrame:
     """(file_path, change_type, version): the last applied event of each file; what the batch did before is overwritten by it."""
     m = F.max(F.struct("seq", "change_type", "assigned"))

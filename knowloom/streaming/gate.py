@@ -17,7 +17,10 @@ STATE = "version bigint, ledger bigint, ts double, seen array<string>"
 SEEN = 10_000
 
 
-def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     g, seen = FileGate(), []
     if state.exists:
         g.version, g.ledger, g.ts, seen = state.get
@@ -34,19 +37,25 @@ def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             known.add(e)
             seen.append(e)
     state.update((g.version, g.ledger, g.ts, seen[-SEEN:]))
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
     x = pd.DataFrame(out, columns=["seq", "file_path", "event_id", "outcome", "assigned"])
     x["assigned"] = x["assigned"].astype("Int64")
     yield x
 
 
-def stream_gate(events: DataFrame) -> DataFrame:
+def stream_gate(events: DataFrame, ttl_hours: int | None = None) -> DataFrame:
     """events (seq, file_path, event_id, change_type, version, event_ts) as a stream, to outcomes.
 
     State is one row per file: versions, time, and the last ids applied. An id counts as a duplicate once it was applied, so
     a skipped event may come again. Rows of a file in one micro-batch are taken in order of seq. Null paths are left out.
+    With ttl_hours the state of a file without events for so long is dropped; with a trigger that ends, such as availableNow,
+    spark.sql.streaming.noDataMicroBatches.enabled must then be false.
     """
     x = events.where("file_path is not null").select("seq", "file_path", "event_id", "change_type", "version", (F.unix_micros(F.col("event_ts").cast("timestamp")) / 1e6).alias("ts"))
-    return x.groupBy("file_path").applyInPandasWithState(_gate, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    ms = ttl_hours * 3_600_000 if ttl_hours else None
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ms else GroupStateTimeout.NoTimeout
+    return x.groupBy("file_path").applyInPandasWithState(lambda k, b, s: _gate(k, b, s, ms), OUT, STATE, "append", timeout)
 
 
 def run_to_end(df: DataFrame, sink, checkpoint: str) -> None:

@@ -111,6 +111,25 @@ def test_gate_batch_and_last_changes(spark, tmp_path):
     assert [r["reason"] for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == ["invalid"]
 
 
+def test_batches_of_events_with_ledger_failure_and_replay(spark, tmp_path, monkeypatch):
+    ledger = stores.event_ledger(spark, str(tmp_path / "ledger"))
+    e = lambda i, path, kind, v: (i, json.dumps({"event_id": f"e{i}", "file_path": path, "change_type": kind, "change_version": v, "timestamp": i * 1000}))
+    one = spark.createDataFrame([e(1, "/a.md", "created", 5), e(2, "/a.md", "modified", 4), e(3, "/b.md", "created", 1), (4, "{")], "seq bigint, payload string")
+    go = lambda rows, n: changes.process_batch(rows, None, None, ledger, None, None, n, str(tmp_path / "dead"), attempts=1)
+
+    def down(*a):
+        raise OSError("down")
+
+    monkeypatch.setattr(changes, "apply_changes", down)
+    assert go(one, 1) == {"failed": 2, "stale_version": 1}
+    applied = []
+    monkeypatch.setattr(changes, "apply_changes", lambda ch, *a: applied.extend(tuple(r) for r in ch.collect()))
+    assert go(changes.replay(ledger), 2) == {"applied": 2}
+    assert sorted(applied) == [("/a.md", "created", 5), ("/b.md", "created", 1)]
+    assert {r["event_id"]: r["status"] for r in ledger.current().collect()} == {"e1": "SUCCEEDED", "e2": "RECEIVED", "e3": "SUCCEEDED"}
+    assert go(one, 3) == {"stale_version": 1}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("short text")
     (tmp_path / "b.html").write_text("<html><script>x()</script><p>Hello &amp; bye</p></html>")
