@@ -129,7 +129,7 @@ SQL = {
     "entity_merge": f"with {MERGED} select e.*, coalesce(chunk_ids, '') as chunk_ids from e left join ids using (entity_key)",
     "edge_merge": """with l as (select 's' || l_suppkey as head_key, case when l_returnflag = 'R' then 'TOOK_BACK' else 'SUPPLIES_TO' end as rel_type, 'p' || l_partkey as tail_key, l_discount as confidence, l_orderkey * 10 + l_linenumber as seq from lineitem),
 k as (select 's' || s_suppkey as k from supplier union all select 'p' || p_partkey from part where p_size > 10)
-select head_key, rel_type, tail_key, max_by(confidence, seq) as confidence, max(seq)::bigint as seq from l where head_key in (select k from k) and tail_key in (select k from k) group by all""",
+select head_key, rel_type, tail_key, max({'s': seq, 'c': confidence}).c as confidence, max(seq)::bigint as seq from l where head_key in (select k from k) and tail_key in (select k from k) group by all""",
     "graph_delete_source": f"with {PLACES} select 'entity' as what, k as id from n where src <> 'nation' union all select 'edge', a || '-' || b from e where src <> 'nation' and a not like 'n%' and b not like 'n%'",
     "graph_delete_chunks": f"with {PLACES}, g as (select k from n where src = 'supplier' and i % 3 in (1, 2)) select 'entity' as what, k as id from n where k not in (select k from g) union all select 'edge', a || '-' || b from e where not (src = 'supplier' and i % 3 in (1, 2)) and a not in (select k from g) and b not in (select k from g)",
     "graph_stats": f"with {PLACES} select (select count(*) from n) as entities, (select count(*) from e) as relations",
