@@ -64,20 +64,17 @@ def answerer(fn: Callable[[str], str] | None = None):
     return run
 
 
-MAX_EXTRACTED = 100_000
-
-
 def html_text(c):
     """Plain text of HTML with JVM expressions: scripts, styles, tags and common entities removed."""
     t = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr)[^>]*>", "\n"), r"<[^>]+>", "")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.substring(t, 1, MAX_EXTRACTED)
+    return t
 
 
 def rich_text(fn: Callable[[bytes, str], str] | None = None):
-    """(content, path) to text; whatever fails falls back to the raw bytes as UTF-8, which isn't cut."""
+    """(content, path) to text; whatever fails falls back to the raw bytes as UTF-8. Texts are whole, however long."""
 
     @pandas_udf("string")
     def run(content: pd.Series, path: pd.Series) -> pd.Series:
@@ -85,7 +82,8 @@ def rich_text(fn: Callable[[bytes, str], str] | None = None):
             if raw is None:
                 return None
             try:
-                return fn(bytes(raw), p)[:MAX_EXTRACTED] if fn else bytes(raw).decode("utf-8", "replace")
+                text = fn(bytes(raw), p) if fn else None
+                return text if isinstance(text, str) else bytes(raw).decode("utf-8", "replace")
             except Exception:  # noqa: BLE001
                 return bytes(raw).decode("utf-8", "replace")
 

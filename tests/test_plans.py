@@ -141,6 +141,17 @@ def test_files(spark, tmp_path):
     assert len(c) == 1 and c[0]["chunk_index"] == 0 and c[0]["metadata"]["source"] == str(tmp_path / "a.txt")
 
 
+def test_files_of_more_than_100_000_characters_are_whole(spark, tmp_path):
+    body = "word " * 30_000
+    (tmp_path / "a.html").write_text(f"<p>{body}</p>end of page")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    reader = lambda raw, path: body + "end of report"
+    d = {r["path"].rsplit("/", 1)[1]: r["text"] for r in documents.read_files(spark, str(tmp_path), reader).collect()}
+    assert d["a.html"] == body + "\nend of page" and d["b.pdf"] == body + "end of report"
+    last = documents.parse_files(spark, str(tmp_path), reader).groupBy("metadata.source").agg(F.max_by("content", "chunk_index").alias("c")).collect()
+    assert len(last) == 2 and all("end of" in r["c"] for r in last)
+
+
 def test_session_store(spark, tmp_path):
     p = str(tmp_path / "m")
     m = spark.createDataFrame([("s", 1, "user", "x"), (" ", 2, "user", "x"), ("s", 3, "user", " ")], "session_id string, seq bigint, role string, content string").withColumn("ts", F.current_timestamp())
