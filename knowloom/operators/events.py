@@ -16,11 +16,16 @@ KINDS = ("created", "modified", "deleted")
 
 
 def first_arrivals(events: DataFrame, order: str = "seq") -> DataFrame:
-    """The first event of each event_id; events without an id are all kept."""
+    """The first event of each event_id, by a unique order; events without an id are all kept."""
     first = events.where("event_id is not null").groupBy("event_id").agg(F.min(order).alias(order)).select(order)
     return events.where("event_id is not null").join(first, order, "left_semi").unionByName(events.where("event_id is null"))
 
 
+def numbered(events: DataFrame, *order, name: str = "row") -> DataFrame:
+    """With a unique bigint that rises in the given order; ties get different numbers too."""
+    return events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+
+
 def version_gate(events: DataFrame, order: str = "seq") -> DataFrame:
     """events (file_path, change_type, version, seq) with last_version and stale, for versioned histories.
 
@@ -76,6 +81,7 @@ class FileGate:
 def replay_gate(events: DataFrame, order: str = "seq", marks: DataFrame | None = None) -> DataFrame:
     """(seq, file_path, event_id, outcome, assigned): the sequential gate over whole histories, also mixed ones.
 
+    The order has to be unique, of any type that sorts; see numbered.
     marks (file_path, last_ts, last_version; see watermarks) is where files stand before these events.
     outcome: applied, duplicate (a later event with an id that was there), stale_version, stale_timestamp or unsupported.
     A file's events run through one task in order, as the gate's state depends on each of them, but as a stream: the task
@@ -106,7 +112,8 @@ def replay_gate(events: DataFrame, order: str = "seq", marks: DataFrame | None =
             x["assigned"] = x["assigned"].astype("Int64")
             yield x
 
-    run = cols.where("file_path is not null").repartition(parts, "file_path").sortWithinPartitions("file_path", "seq").mapInPandas(work, "seq bigint, file_path string, event_id string, outcome string, assigned bigint")
+    kind = events.schema[order].dataType.simpleString()
+    run = cols.where("file_path is not null").repartition(parts, "file_path").sortWithinPartitions("file_path", "seq").mapInPandas(work, f"seq {kind}, file_path string, event_id string, outcome string, assigned bigint")
     return run.withColumnRenamed("seq", order).unionByName(dup)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from knowloom.functions.parsing import parse_events
 from knowloom.functions.text import doc_identity
 from knowloom.functions.versions import effective_version
-from knowloom.operators.events import chunk_diff, replay_gate, replayable, split_poison, unprocessed, watermarks
+from knowloom.operators.events import chunk_diff, numbered, replay_gate, replayable, split_poison, unprocessed, watermarks
 from knowloom.plans.ingest import Stores, chunk_documents, knowledge
 from knowloom.plans.workflow import ATTEMPTS, Run
 from knowloom.session import materialize
@@ -20,13 +20,16 @@ from knowloom.streaming.gate import run_to_end
 
 
 def gate_batch(raw: DataFrame, dead: str | None = None) -> DataFrame:
-    """(seq, file_path, event_id, change_type, outcome, assigned) of raw events (payload, seq); poison goes to `dead`."""
+    """(row, seq, file_path, event_id, change_type, outcome, assigned) of raw events (payload, seq); poison goes to `dead`.
+
+    row is the event's unique number by seq, so that equal seqs don't mix events.
+    """
     good, bad = split_poison(parse_events(raw))
     if dead:
         dead_letter(bad, dead)
-    ev = good.select("seq", "event.*").withColumn("version", effective_version(F.col("change_version"), F.col("document_version")))
-    ev = materialize(ev, "events")
-    return replay_gate(ev).join(ev.select("seq", "change_type"), "seq")
+    ev = good.select("seq", "payload", "event.*").withColumn("version", effective_version(F.col("change_version"), F.col("document_version")))
+    ev = materialize(numbered(ev, "seq", "event_id", "payload"), "events")
+    return replay_gate(ev, "row").join(ev.select("row", "seq", "change_type"), "row")
 
 
 def process_batch(raw: DataFrame, contents: Callable[[DataFrame], DataFrame], stores: Stores, ledger: Log, extract, embed, batch: int, dead: str | None = None, attempts: int = ATTEMPTS) -> dict:
@@ -40,10 +43,11 @@ def process_batch(raw: DataFrame, contents: Callable[[DataFrame], DataFrame], st
     if dead:
         dead_letter(bad, dead)
     v = effective_version(F.col("event.change_version"), F.col("event.document_version"))
-    ev = materialize(good.select("seq", "payload", "event.event_id", "event.file_path", "event.change_type", "event.event_ts", v.alias("version")), "events")
+    ev = good.select("seq", "payload", "event.event_id", "event.file_path", "event.change_type", "event.event_ts", v.alias("version"))
+    ev = materialize(numbered(ev, "seq", "event_id", "payload"), "events")
     past = ledger.history()
     todo = unprocessed(ev, past)
-    out = materialize(replay_gate(todo, marks=watermarks(past)).select("seq", "outcome", "assigned").join(ev, "seq"), "outcomes")
+    out = materialize(replay_gate(todo, "row", watermarks(past)).select("row", "outcome", "assigned").join(ev.withColumn("arrival", F.col("row")), "row"), "outcomes")
     mark = lambda rows, status, step, why=None: ledger.append(rows.withColumn("version", F.coalesce("version", F.lit(None).cast("bigint"))).withColumn("status", F.lit(status)).withColumn("failure_reason", F.lit(why)).withColumn("processed_at", F.current_timestamp()), batch * 4 + step)
     applied = out.where("outcome = 'applied'")
     mark(out.where("outcome <> 'duplicate'"), "RECEIVED", 0)
@@ -59,9 +63,14 @@ def process_batch(raw: DataFrame, contents: Callable[[DataFrame], DataFrame], st
 
 
 def replay(ledger: Log) -> DataFrame:
-    """(payload, seq) of failed events in their order, to be given to process_batch again."""
-    failed = replayable(ledger.history())
-    return failed.select("payload", F.unix_micros(F.coalesce("event_ts", F.lit(0).cast("timestamp"))).alias("seq"))
+    """(payload, seq) of failed events in the order in which they first arrived, to be given to process_batch again.
+
+    Ledgers of before arrivals were kept have the batch only; in it, time and id decide.
+    """
+    past = ledger.history()
+    first = past.where("status = 'RECEIVED'").groupBy("event_id").agg(F.min(F.struct("seq", "arrival")).alias("first"))
+    failed = replayable(past).join(first, "event_id", "left")
+    return numbered(failed, "first", "event_ts", "event_id", name="n").select("payload", F.col("n").alias("seq"))
 
 
 def stream_changes(stream: DataFrame, contents, stores: Stores, ledger: Log, extract, embed, checkpoint: str, dead: str) -> None:
@@ -71,7 +80,7 @@ def stream_changes(stream: DataFrame, contents, stores: Stores, ledger: Log, ext
 
 def last_changes(outcomes: DataFrame) -> DataFrame:
     """(file_path, change_type, version): the last applied event of each file; what the batch did before is overwritten by it."""
-    m = F.max(F.struct("seq", "change_type", "assigned"))
+    m = F.max(F.struct("row", "change_type", "assigned"))
     return outcomes.where("outcome = 'applied'").groupBy("file_path").agg(m.alias("m")).select("file_path", "m.change_type", F.col("m.assigned").alias("version"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from knowloom.operators.events import FileGate
 
-OUT = "seq bigint, file_path string, event_id string, outcome string, assigned bigint"
+OUT = "file_path string, event_id string, outcome string, assigned bigint"
 STATE = "version bigint, ledger bigint, ts double, seen array<string>"
 #: Ids of a file that its state remembers; older ones are behind its version and time anyway.
 SEEN = 10_000
@@ -55,7 +55,7 @@ def stream_gate(events: DataFrame, ttl_hours: int | None = None) -> DataFrame:
     x = events.where("file_path is not null").select("seq", "file_path", "event_id", "change_type", "version", (F.unix_micros(F.col("event_ts").cast("timestamp")) / 1e6).alias("ts"))
     ms = ttl_hours * 3_600_000 if ttl_hours else None
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ms else GroupStateTimeout.NoTimeout
-    return x.groupBy("file_path").applyInPandasWithState(lambda k, b, s: _gate(k, b, s, ms), OUT, STATE, "append", timeout)
+    return x.groupBy("file_path").applyInPandasWithState(lambda k, b, s: _gate(k, b, s, ms), f"seq {x.schema['seq'].dataType.simpleString()}, {OUT}", STATE, "append", timeout)
 
 
 def run_to_end(df: DataFrame, sink, checkpoint: str) -> None:

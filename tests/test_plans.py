@@ -131,6 +131,38 @@ def test_batches_of_events_with_ledger_failure_and_replay(spark, tmp_path, monke
     assert go(one, 3) == {"stale_version": 1}
 
 
+def test_lines_of_one_file_are_events_of_their_own(spark, tmp_path, monkeypatch):
+    e = lambda i, path, kind: json.dumps({"event_id": i, "file_path": path, "change_type": kind, "timestamp": 1000})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.json").write_text("\n".join([e("a", "/f", "created"), e("b", "/f", "modified"), e("a", "/f", "created"), e("c", "/g", "created"), e("d", "/f", "deleted")]))
+    seqs, applied, counts = [], [], []
+    changes.run_to_end(stream_from_files(spark, str(tmp_path / "in")), lambda df, i: seqs.extend((r["seq"], json.loads(r["payload"])["event_id"]) for r in df.collect()), str(tmp_path / "cp0"))
+    assert len(set(seqs)) == 5 and [i for _, i in sorted(seqs)] == ["a", "b", "a", "c", "d"]
+    monkeypatch.setattr(changes, "apply_changes", lambda ch, *a: applied.extend(tuple(r) for r in ch.collect()))
+    ledger, process = stores.event_ledger(spark, str(tmp_path / "ledger")), changes.process_batch
+    monkeypatch.setattr(changes, "process_batch", lambda *a, **k: counts.append(process(*a, **k)))
+    changes.stream_changes(stream_from_files(spark, str(tmp_path / "in")), None, None, ledger, None, None, str(tmp_path / "cp"), str(tmp_path / "dead"))
+    assert counts == [{"applied": 4, "duplicate": 1}] and sorted(applied) == [("/f", "deleted", 3), ("/g", "created", 1)]
+    assert ledger.history().where("status = 'SUCCEEDED'").count() == 4
+    same = changes.gate_batch(spark.createDataFrame([(7, e(i, "/f", "modified")) for i in "aabc"], "seq bigint, payload string"))
+    assert sorted((r["event_id"], r["outcome"]) for r in same.collect()) == [("a", "applied"), ("a", "duplicate"), ("b", "applied"), ("c", "applied")]
+
+
+def test_replay_of_events_without_times_keeps_their_arrival(spark, tmp_path, monkeypatch):
+    ledger = stores.event_ledger(spark, str(tmp_path / "ledger"))
+    event = lambda i, kind: json.dumps({"event_id": i, "file_path": "/f", "change_type": kind})
+    rows = [(event("z", "created"), 1), (event("m", "modified"), 2), (event("a", "deleted"), 3)]
+    one = spark.createDataFrame([(i, "/f", json.loads(p)["change_type"], p, n) for p, n in rows for i in [json.loads(p)["event_id"]]], "event_id string, file_path string, change_type string, payload string, arrival bigint")
+    for step, status in enumerate(("RECEIVED", "FAILED")):
+        ledger.append(one.withColumn("status", F.lit(status)), 4 + step)
+    got = changes.replay(ledger).orderBy("seq").collect()
+    assert [json.loads(r["payload"])["event_id"] for r in got] == ["z", "m", "a"] and len({r["seq"] for r in got}) == 3
+    applied = []
+    monkeypatch.setattr(changes, "apply_changes", lambda ch, *a: applied.extend(tuple(r) for r in ch.collect()))
+    assert changes.process_batch(changes.replay(ledger), None, None, ledger, None, None, 2) == {"applied": 3}
+    assert applied == [("/f", "deleted", 3)]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("short text")
     (tmp_path / "b.html").write_text("<html><script>x()</script><p>Hello &amp; bye</p></html>")
