@@ -1,7 +1,8 @@
 """Linking variant spellings of the names of persons and organisations.
 
 1. Names are read into a kind (person or organisation), a core token (surname, or an organisation's own word) and the
-   remaining tokens (given names, or what it does and where). Work goes on with distinct names.
+   remaining tokens (given names, or what it does and where). Which token of a person is the surname is told by how the whole
+   table uses each token, whatever their order in this name. Work goes on with distinct names.
 2. Core tokens are blocked by MinHash banding over their padded q-grams. Bands and rows are tuned from the collision curve.
    Within a bucket every token is compared with the bucket's leaders only; verified links give each token its star's centre.
 3. Names with the same core are verified by Monge-Elkan similarity over their remaining tokens, and clustered as stars: the
@@ -50,6 +51,9 @@ KNOWN_GIVEN = GIVEN | set(SHORT_FORMS) | set(NICKNAMES)
 Q, AT_SIMILARITY, RECALL, ROWS = 2, 0.55, 0.97, 4
 #: Least Monge-Elkan similarity of two names of one star.
 ALIKE = 0.85
+#: What a name says about a token being a surname: beside a comma, beside initials only, by its place; what
+#: the lists of given names say against it, and each letter for it, for tokens that the table has too seldom (SELDOM) to tell.
+BY_COMMA, BY_INITIAL, BY_PLACE, LISTED, LETTER, SELDOM = 3, 2, 1, 0.5, 0.05, 4
 LETTERS = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 
 
@@ -102,6 +106,9 @@ class Name:
     core: str
     rest: tuple[str, ...]
     region: str
+    #: Tokens of which the table decides which is the core, and (token, weight) that the name says about surnames.
+    options: tuple[str, ...] = ()
+    said: tuple[tuple[str, int], ...] = ()
 
 
 def tokens(name: str) -> tuple[list[str], int]:
@@ -198,14 +205,19 @@ def _person(words: list[str], before: int) -> Name:
     if before:
         last = [w for w in words[:before] if len(w) > 1]
         core = last[-1] if last else full[-1]
+        said = [(core, BY_COMMA), *((w, -BY_COMMA) for w in full if w != core)]
+    elif len(set(full)) == 1:
+        core = full[0]
+        said = [(core, BY_INITIAL)] if len(words) > 1 else []
     else:
+        said = [(full[0], -BY_PLACE), (full[-1], BY_PLACE)]
         unknown = [w for w in full if given_of(w) is None]
         core = max(unknown, key=len) if unknown else full[-1]
     rest = list(words)
     rest.remove(core)
     # A given name in full says more than initials beside it.
     named = [w for w in rest if len(w) > 1]
-    return Name("person", core, tuple(named[:1] or rest[:1]), "")
+    return Name("person", core, tuple(named[:1] or rest[:1]), "", () if before else tuple(dict.fromkeys(full)), tuple(said))
 
 
 def _same(a: str, b: str, kind: str) -> float:
@@ -279,15 +291,36 @@ def stars(names: list[tuple[int, Name, int]], core: str) -> dict[int, int]:
 
 def distinct_names(df: DataFrame, id_col: str, name: str, type_: str) -> DataFrame:
     """(name, type, rows, kind, core, rest, region), one row for each distinct name and type that is a person's or organisation's."""
+    return surnames(materialize(read_names(df, name, type_), "parsed"))
+
+
+def surnames(parsed: DataFrame) -> DataFrame:
+    """The names with the core of each person decided by the whole table: the token that is most of all used as a surname.
+
+    The choice depends on the set of tokens only, so that reordered forms of a name have the same core; length counts a little, and
+    decides for tokens that are nowhere else. Tokens of the lists of given names need the table's word against them.
+    """
+    said = parsed.select(F.explode("said").alias("s")).groupBy("s.token").agg((F.sum("s.weight") / (F.sum(F.abs("s.weight")) + SELDOM)).alias("use"))
+    open_ = F.size("options") > 1
+    each = parsed.where(open_).select("name", "type", F.explode("options").alias("o")).select("name", "type", "o.token", "o.given")
+    score = F.coalesce("use", F.lit(0.0)) + LETTER * F.least(F.length("token"), F.lit(12)) - F.when(F.col("given"), LISTED).otherwise(0.0)
+    best = each.join(said, "token", "left").groupBy("name", "type").agg(F.max(F.struct(score.alias("score"), F.length("token").alias("n"), "token"))["token"].alias("best"))
+    x = parsed.join(best.withColumnRenamed("name", "name_").withColumnRenamed("type", "type_"), (F.col("name") == F.col("name_")) & F.col("type").eqNullSafe(F.col("type_")), "left")
+    rest = F.slice(F.filter(F.transform("options", lambda o: o["token"]), lambda w: w != F.col("best")), 1, 1)
+    return x.select("name", "type", "rows", "kind", F.coalesce("best", "core").alias("core"), F.when(F.col("best").isNull(), F.col("rest")).otherwise(rest).alias("rest"), "region")
+
+
+def read_names(df: DataFrame, name: str, type_: str) -> DataFrame:
+    """As distinct_names, before the table's say, with the tokens that may be the core and what each name says about its tokens."""
     d = df.select(F.col(name).alias("name"), F.col(type_).alias("type")).where("name is not null").groupBy("name", "type").agg(F.count("*").alias("rows"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [(n, t, r, p.kind, p.core, list(p.rest), p.region) for n, t, r in b.itertuples(index=False) if (p := parse(n, t if isinstance(t, str) else None))]
-            yield pd.DataFrame(got, columns=["name", "type", "rows", "kind", "core", "rest", "region"])
+            got = [(n, t, r, p.kind, p.core, list(p.rest), p.region, [{"token": w, "given": given_of(w) is not None} for w in p.options], [{"token": w, "weight": k} for w, k in p.said]) for n, t, r in b.itertuples(index=False) if (p := parse(n, t if isinstance(t, str) else None))]
+            yield pd.DataFrame(got, columns=["name", "type", "rows", "kind", "core", "rest", "region", "options", "said"])
 
     # Reading names is work for the processor: as many tasks as there are cores, however small the table.
-    return d.repartition(tasks(df), "name").mapInPandas(work, "name string, type string, rows bigint, kind string, core string, rest array<string>, region string")
+    return d.repartition(tasks(df), "name").mapInPandas(work, "name string, type string, rows bigint, kind string, core string, rest array<string>, region string, options array<struct<token:string,given:boolean>>, said array<struct<token:string,weight:int>>")
 
 
 def tasks(df: DataFrame) -> int:

@@ -36,6 +36,16 @@ def test_variants(spark):
     assert not {r["entity_id"] for r in links.collect()} & {900, 901, 902, 903, 904, 905}
 
 
+def test_given_names_that_no_list_has(spark):
+    same = [
+        ["Bartholomew Lee", "Lee, Bartholomew", "B. Lee", "Lee Bartholomew", "Bartholmew Lee"], ["Aiko Sato", "Sato Aiko", "Sato, A."], ["Wanjiru Otieno", "Otieno Wanjiru"],
+        ["Bartholomew James", "James, Bartholomew"],
+    ]
+    rows = [(10 * g + i, x, "Person") for g, group in enumerate(same) for i, x in enumerate(group)]
+    assert not {w for group in same[:3] for x in group for w in N.tokens(x)[0] if len(w) > 1} & N.KNOWN_GIVEN
+    assert linked(spark, rows)[0] == {(a, b) for a, *_ in rows for b, *_ in rows if a < b and a // 10 == b // 10}
+
+
 def test_shared_initial_is_not_guessed(spark):
     got, _ = linked(spark, [(1, "Vera Stolaknomand", "Person"), (2, "Victoria Stolaknomand", "Person"), (3, "V. Stolaknomand", "Person"), (4, "V. Stolaknomand", "person")])
     assert got == {(3, 4)}
