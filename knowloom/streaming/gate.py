@@ -13,8 +13,6 @@ from knowloom.operators.events import FileGate
 
 OUT = "file_path string, event_id string, outcome string, assigned bigint"
 STATE = "version bigint, ledger bigint, ts double, seen array<string>"
-#: Ids of a file that its state remembers; older ones are behind its version and time anyway.
-SEEN = 10_000
 
 
 def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
@@ -36,7 +34,7 @@ def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms
         if done[0] == "applied" and isinstance(e, str):
             known.add(e)
             seen.append(e)
-    state.update((g.version, g.ledger, g.ts, seen[-SEEN:]))
+    state.update((g.version, g.ledger, g.ts, seen))
     if ttl_ms:
         state.setTimeoutDuration(ttl_ms)
     x = pd.DataFrame(out, columns=["seq", "file_path", "event_id", "outcome", "assigned"])
@@ -47,7 +45,8 @@ def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms
 def stream_gate(events: DataFrame, ttl_hours: int | None = None) -> DataFrame:
     """events (seq, file_path, event_id, change_type, version, event_ts) as a stream, to outcomes.
 
-    State is one row per file: versions, time, and the last ids applied. An id counts as a duplicate once it was applied, so
+    State is one row per file: versions, time, and all ids applied, as events without versions or of equal times pass the gate
+    again otherwise, however old they are. The row grows with them; ttl_hours is what ends it. An id counts as a duplicate once it was applied, so
     a skipped event may come again. Rows of a file in one micro-batch are taken in order of seq. Null paths are left out.
     With ttl_hours the state of a file without events for so long is dropped; with a trigger that ends, such as availableNow,
     spark.sql.streaming.noDataMicroBatches.enabled must then be false.

@@ -1,6 +1,7 @@
 """Stores, pipelines, streams, workflows and files end to end on small inputs."""
 
 import json
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -104,6 +105,20 @@ def test_stream_gate_equals_batch(spark, tmp_path):
     assert stream_from_files(spark, str(tmp_path / "in")).isStreaming
 
 
+def test_stream_gate_knows_ids_of_long_ago(spark, tmp_path):
+    schema = "event_id string, file_path string, change_type string, version bigint, event_ts timestamp, seq bigint"
+    (tmp_path / "in").mkdir()
+    for part, ids in enumerate(([*range(10_050)], [0, 49, 10_049])):
+        rows = [json.dumps({"event_id": f"e{i}", "file_path": "f", "change_type": "modified", "seq": part * 100_000 + i}) for i in ids]
+        (tmp_path / "in" / f"{part}.json").write_text("\n".join(rows))
+        os.utime(tmp_path / "in" / f"{part}.json", (part + 1, part + 1))
+    got = []
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    gate.run_to_end(gate.stream_gate(src), lambda df, i: got.append([(r["seq"], r["outcome"]) for r in df.collect()]), str(tmp_path / "cp"))
+    assert [len(x) for x in got] == [10_050, 3] and {o for _, o in got[0]} == {"applied"}
+    assert sorted(got[1]) == [(100_000, "duplicate"), (100_049, "duplicate"), (110_049, "duplicate")]
+
+
 def test_gate_batch_and_last_changes(spark, tmp_path):
     raw = [(1, json.dumps({"event_id": "a", "file_path": "f", "change_type": "created"})), (2, json.dumps({"event_id": "b", "file_path": "f", "change_type": "modified"})), (3, "broken"), (4, json.dumps({"event_id": "a", "file_path": "f"}))]
     out = changes.gate_batch(spark.createDataFrame(raw, "seq bigint, payload string"), str(tmp_path / "dead"))
