@@ -49,6 +49,8 @@ KNOWN_GIVEN = GIVEN | set(SHORT_FORMS) | set(NICKNAMES)
 
 #: Length of q-grams; similarity of core tokens that must be found, and with which chance.
 Q, AT_SIMILARITY, RECALL, ROWS = 2, 0.55, 0.97, 4
+#: Longest core tokens that are also met by their one-edit keys, and those of which spellings may share few q-grams.
+EDIT_LETTERS, FEW_GRAMS = 16, 10
 #: Least Monge-Elkan similarity of two names of one star.
 ALIKE = 0.85
 #: What a name says about a token being a surname: beside a comma, beside initials only, by its place; what
@@ -347,6 +349,16 @@ def band_keys(words: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     return words.select("kind", "core", "n").repartition(tasks(words), "core").mapInPandas(work, "key bigint, kind string, core string, n bigint")
 
 
+def edit_keys(words: DataFrame) -> DataFrame:
+    """(key, kind, core, n): one row for each core token and each of it with a letter left out, which any two tokens of one edit share.
+
+    For tokens so short that an edit leaves too few q-grams for the bands; those of more than EDIT_LETTERS don't need it.
+    """
+    left_out = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring(F.col("core"), F.lit(1), i - 1), F.substring(F.col("core"), i + 1, F.length("core"))))
+    short = words.where(F.length("core").between(3, EDIT_LETTERS))
+    return short.select(F.explode(F.array_distinct(F.concat(F.array("core"), left_out))).alias("w"), "kind", "core", "n").select(F.xxhash64("w").alias("key"), "kind", "core", "n")
+
+
 def same_core(a: str, b: str) -> bool:
     """Whether two core tokens are spellings of one: few edits, perhaps after an initial glued to one of them."""
     if close(a, b):
@@ -370,7 +382,7 @@ def core_links(keys: DataFrame, partitions: int) -> DataFrame:
                 g = grams(core)
                 hit = False
                 for lead, lg, ln in leaders:
-                    if 3 * len(g & lg) >= len(g | lg) and same_core(core, lead):
+                    if (min(len(core), len(lead)) <= FEW_GRAMS or 3 * len(g & lg) >= len(g | lg)) and same_core(core, lead):
                         out.append((kind, core, lead, ln, osa(core, lead, 3)))
                         hit = True
                 if not hit:
@@ -381,17 +393,18 @@ def core_links(keys: DataFrame, partitions: int) -> DataFrame:
     return ordered.mapInPandas(work, "kind string, member string, leader string, ln bigint, gap int")
 
 
-def core_stars(names: DataFrame, rounds: int = 3) -> DataFrame:
+def core_stars(names: DataFrame) -> DataFrame:
     """(kind, core, centre) for each core token that isn't a centre itself. Links always point to a higher rank, so following
-    them ends; after `rounds` doublings chains of up to 2^rounds links have reached their centre."""
+    them ends; each round halves the chains, until all have reached their centre."""
     words = names.groupBy("kind", "core").agg(F.sum("rows").alias("n"))
-    links = core_links(band_keys(words, bands_for()), tasks(names))
+    links = core_links(band_keys(words, bands_for()).unionByName(edit_keys(words)), tasks(names))
     best = links.groupBy("kind", "member").agg(F.min(F.struct("gap", (-F.col("ln")).alias("r"), "leader")).alias("b"))
     up = materialize(best.select("kind", F.col("member").alias("core"), F.col("b.leader").alias("centre")), "corelinks")
-    for _ in range(rounds):
+    while True:
         nxt = up.select("kind", F.col("core").alias("centre"), F.col("centre").alias("c2"))
+        if up.join(nxt, ["kind", "centre"], "left_semi").isEmpty():
+            return up
         up = materialize(up.join(nxt, ["kind", "centre"], "left").select("kind", "core", F.coalesce("c2", "centre").alias("centre")), "corelinks")
-    return up
 
 
 def link_names(df: DataFrame, id_col: str = "entity_id", name: str = "entity_name", type_: str = "entity_type") -> DataFrame:

@@ -92,6 +92,23 @@ def test_banding_recall(spark):
     assert len(pairs) > 150 and met / len(pairs) >= 0.95
 
 
+def test_every_pair_of_one_edit_in_short_cores_is_met(spark):
+    rng, words, pairs = random.Random(5), set(), []
+    for n in [4, 5, 6, 7] * 60:
+        w = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", n))
+        i = rng.randrange(n - 1)
+        v = rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[: i + 1] + "0" + w[i + 2 :]])
+        words |= {w, v}
+        if N.same_core(w, v):
+            pairs.append((w, v))
+    df, keys = spark.createDataFrame([("person", w, 1) for w in sorted(words)], "kind string, core string, n bigint"), {}
+    for r in N.edit_keys(df).collect():
+        keys.setdefault(r["core"], set()).add(r["key"])
+    assert len(pairs) > 200 and all(keys[a] & keys[b] for a, b in pairs)
+    people = [(i, f"Vera {w}", "Person") for i, w in enumerate(["Lang", "Lnag", "Meyer", "Meeyr", "Brandt", "Brnadt"])]
+    assert linked(spark, people)[0] == {(0, 1), (2, 3), (4, 5)}
+
+
 @pytest.mark.parametrize("s", [0.5, 0.55, 0.7])
 def test_collision_curve(s):
     b = N.bands_for(s, 0.97)
