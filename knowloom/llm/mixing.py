@@ -18,8 +18,24 @@ from pyspark.sql import functions as F
 
 from knowloom.session import materialize
 
-#: Rows that a bucket of a cumulative sum holds on average, and the most target rows that are sent to every executor.
-BUCKET_ROWS, MAX_TARGETS = 4_096, 100_000
+#: Rows that a bucket of a cumulative sum holds on average, bucket totals that are accumulated in one task on average, and
+#: the most target rows that are sent to every executor.
+BUCKET_ROWS, BUCKETS, MAX_TARGETS = 4_096, 4_096, 100_000
+
+
+def _before(totals: DataFrame, group: list[str], bucket: str, blocks: bool = True) -> DataFrame:
+    """(<group>, <bucket>, off_, no_): what all earlier buckets of the group add up to, from totals (<group>, <bucket>, t_, c_).
+
+    Buckets are accumulated in blocks, and the blocks' totals among themselves: no task has all buckets of a group.
+    """
+    earlier = lambda c, keys: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not blocks:
+        return totals.select(*group, bucket, earlier("t_", group).alias("off_"), earlier("c_", group).alias("no_"))
+    x = totals.withColumn("k_", F.floor(F.col(bucket) / BUCKETS))
+    whole = x.groupBy(*group, "k_").agg(F.sum("t_").alias("t_"), F.sum("c_").alias("c_"))
+    starts = _before(whole, group, "k_", blocks=False).select(*group, "k_", F.col("off_").alias("o_"), F.col("no_").alias("n_"))
+    inside = x.select(*group, "k_", bucket, earlier("t_", [*group, "k_"]).alias("off_"), earlier("c_", [*group, "k_"]).alias("no_"))
+    return inside.join(starts, [*group, "k_"]).select(*group, bucket, (F.col("off_") + F.col("o_")).alias("off_"), (F.col("no_") + F.col("n_")).alias("no_"))
 
 
 def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str, count: str | None = None) -> DataFrame:
@@ -28,10 +44,8 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[Column
     Buckets must follow the order. Sums each bucket (combined before the shuffle), accumulates the totals, adds them back.
     """
     totals = df.groupBy(*group, bucket).agg(F.sum(value).alias("t_"), F.count("*").alias("c_"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, bucket, F.coalesce(F.sum("t_").over(before), F.lit(0)).alias("off_"), F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("no_"))
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = df.join(offsets, [*group, bucket]).withColumn(out, F.col("off_") + F.sum(value).over(inside))
+    x = df.join(_before(totals, group, bucket), [*group, bucket]).withColumn(out, F.col("off_") + F.sum(value).over(inside))
     if count:
         x = x.withColumn(count, F.col("no_") + F.count("*").over(inside))
     return x.drop("off_", "no_")
@@ -52,8 +66,13 @@ def plan_mix(totals: DataFrame, targets: DataFrame, budgets: dict[str, float] |
     if budgets:
         given = F.element_at(F.create_map(*[v for k, b in budgets.items() for v in (F.lit(k), F.lit(float(b)))]), F.col("mix_name"))
     x = x.withColumn("budget", F.floor(F.coalesce(given, F.col("feasible")) + 1e-6).cast("bigint"))
-    # Short sources stop early and others take their place, so all rounds may be needed then; else the share tells.
-    rounds = F.when(F.col("budget") > F.col("feasible") + 1, F.col("max_repeats")).otherwise(F.least("max_repeats", F.floor(F.col("budget") * F.col("weight") / F.col("tokens")).cast("int") + 1))
+    # At a finish time f every source has served more than weight x f less one document, or all it has, which is weight x budget
+    # at least if the budget is feasible. So from budget + document / weight on, for the worst source, the budget is used up.
+    late = F.max(F.when(F.col("usable"), F.col("largest") / F.col("weight"))).over(mix)
+    x = x.withColumn("last_finish", F.when(F.col("budget") <= F.col("feasible"), F.col("budget") + late + 1))
+    # Beyond that short sources stop early, others take their place, and all rounds may be needed.
+    rounds = F.least(F.col("max_repeats"), F.floor(F.col("last_finish") * F.col("weight") / F.col("tokens")).cast("bigint") + 1).cast("int")
+    rounds = F.when(F.col("last_finish").isNull(), F.col("max_repeats")).otherwise(rounds)
     return x.withColumn("rounds", rounds)
 
 
@@ -73,10 +92,10 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float]
     """
     docs = sizes.where("doc_id is not null and source is not null and n_tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("s")).select("doc_id", "s.source", "s.n_tokens")
     docs = materialize(docs, "sizes")
-    totals = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    totals = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
     plan = materialize(plan_mix(totals, targets, budgets), "mixplan")
     n_docs, n_targets = docs.count(), plan.count()
-    use = plan.where("weight is not null").select("mix_name", "source", "weight", "budget", "tokens", "rounds", "max_repeats")
+    use = plan.where("weight is not null").select("mix_name", "source", "weight", "budget", "last_finish", "rounds", "max_repeats")
     use = F.broadcast(use) if n_targets <= MAX_TARGETS else use
     bits = max(0, math.ceil(math.log2(max(1, n_docs / BUCKET_ROWS))))
     copies = docs.join(use, "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.least("rounds", "max_repeats") - 1)))
@@ -85,10 +104,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float]
     # Buckets of the queue: rounds one after the other, in each the hash's top bits.
     copies = copies.withColumn("b", F.col("repeat_no") * F.lit(1 << bits).cast("bigint") + high)
     queued = running_sum(copies, ["mix_name", "source"], "b", [F.shiftrightunsigned("h", 1), F.col("h"), F.col("doc_id")], "n_tokens", "cum")
-    slack = F.lit(1.0) + F.lit(2.0) / (1 << min(bits + 4, 20))
-    timed = queued.withColumn("finish_time", F.col("cum") / F.col("weight"))
-    # Without short sources nothing beyond the budget (and a document) can be taken; with them time runs on.
-    timed = timed.where((F.col("rounds") == F.col("max_repeats")) | (F.col("cum") - F.col("n_tokens") <= F.col("weight") * F.col("budget") * slack))
+    timed = queued.withColumn("finish_time", F.col("cum") / F.col("weight")).where(F.col("last_finish").isNull() | (F.col("finish_time") <= F.col("last_finish")))
     ranges = max(1, n_docs // BUCKET_ROWS) * 4
     timed = timed.withColumn("v", F.floor(F.col("finish_time") * ranges / F.greatest(F.col("budget"), F.lit(1))).cast("bigint"))
     served = running_sum(timed.select("mix_name", "source", "doc_id", "repeat_no", "n_tokens", "finish_time", "budget", "v"), ["mix_name"], "v", [F.col("finish_time"), F.col("source"), F.col("repeat_no"), F.col("doc_id")], "n_tokens", "total", "position")

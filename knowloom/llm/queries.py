@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from knowloom.llm import encodings, mixing, names, splitting, tokens
@@ -46,6 +47,25 @@ def p7_shares(spark, d):
     return _mix(spark, d)[1]
 
 
+def p7_checks(spark, d):
+    """What has to hold for each target: the share scaled over usable sources, and that the mix keeps to it, to repeats and to the budget.
+
+    At any place of the order a source is behind its share by less than a document of its own, and the others before it by one each.
+    """
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    mix, rep = mixing.mix_sources(tokens.token_counts(docs, extra=["source"]), targets)
+    largest = mix.groupBy("mix_name", "source").agg(F.max("n_tokens").alias("largest"), F.count("*").alias("n"), F.countDistinct("doc_id", "repeat_no").alias("packets"))
+    m = Window.partitionBy("mix_name")
+    x = rep.join(largest, ["mix_name", "source"], "left").withColumn("usable", F.col("tokens_available") > 0)
+    share = F.when(F.col("usable"), F.col("target_share") / F.sum(F.when(F.col("usable"), F.col("target_share"))).over(m))
+    x = x.withColumn("share", share).withColumn("total", F.sum("tokens_used").over(m)).withColumn("one_each", F.sum("largest").over(m))
+    met = F.abs(F.col("tokens_used") - F.col("share") * F.col("total")) <= F.greatest(F.col("largest"), F.col("share") * F.col("one_each")) + 1
+    return x.select(
+        "mix_name", "source", F.round("share", 6).alias("share"), F.coalesce(met, F.col("tokens_used") == 0).alias("share_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"),
+        F.coalesce(F.col("n") == F.col("packets"), F.lit(True)).alias("no_use_twice"), ((F.col("total") <= F.col("budget")) & (F.col("total") + F.col("one_each") > F.col("budget"))).alias("budget_used"),
+    )
+
+
 def p8_found(spark, d):
     return encodings.find_garbled(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -55,8 +75,14 @@ def p8_restored(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_entities, p6_ids, p6_counts, p7_mix, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_entities, p6_ids, p6_counts, p7_mix, p7_shares, p7_checks, p8_found, p8_restored)}
+
+
+P7 = """with t as (select mix_name, source, max(target_share) as target_share, max(max_repeats) as max_repeats from mix_targets group by all),
+u as (select t.*, target_share > 0 and max_repeats > 0 and exists (select 1 from documents d where d.source = t.source and length(d.text) > 0) as usable from t)
+select mix_name, source, round(case when usable then target_share / sum(case when usable then target_share end) over (partition by mix_name) end, 6) as share,
+  true as share_met, true as repeats_kept, true as no_use_twice, true as budget_used from u"""
 
 
 def oracle_sql():
-    return {"p1_found": "select distinct chunk_id from raw_chunks where length(content) > 512 and chunk_id is not null"}
+    return {"p1_found": "select distinct chunk_id from raw_chunks where length(content) > 512 and chunk_id is not null", "p7_checks": P7}

@@ -69,3 +69,34 @@ def test_empty(spark):
     mix, rep = run(spark, [], [("m", "a", 1.0, 2)])
     assert mix == [] and rep["m", "a"]["actual_share"] == 0
     assert run(spark, [(1, "a", 5)], []) == ([], {})
+
+
+def test_one_large_document_waits_while_many_small_ones_are_served(spark):
+    docs = [(i, "A", 10_000) for i in range(5)] + [(100 + i, "B", 10) for i in range(1_000)]
+    mix, _ = run(spark, docs, [("m", "A", 0.9, 2), ("m", "B", 0.1, 2)], budgets={"m": 5_000})
+    # B's k-th document is done at 100 k, A's first at 11,111; the next one in order would go beyond the budget.
+    assert Counter(r["source"] for r in mix) == {"B": 111}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_same_as_one_queue_in_memory(spark, monkeypatch, seed):
+    """All packets sorted by finish time and cut at the budget, whatever the sizes of documents, buckets and blocks."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(mixing, "BUCKETS", 3)
+    rng = random.Random(seed)
+    docs = [(i, rng.choice("abc"), rng.choice([1, 5, 40, 3_000])) for i in range(300)]
+    have = {s: sum(n for _, x, n in docs if x == s) for s in "abc"}
+    weight, most = {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1, "b": 2, "c": 3}
+    feasible = min(most[s] * have[s] / weight[s] for s in "abc")
+    budget = int(feasible * rng.choice([0.05, 0.4, 1.0, 1.3]))
+    mix, _ = run(spark, docs, [("m", s, weight[s], most[s]) for s in "abc"], budgets={"m": budget})
+    got = sorted(mix, key=lambda r: r["position"])
+    assert sum(r["n_tokens"] for r in got) <= budget and len({(r["doc_id"], r["repeat_no"]) for r in got}) == len(got)
+    # The order inside a queue is the operator's shuffle; with it, the rest of every queue follows by size only.
+    served = {s: sum(r["n_tokens"] for r in got if r["source"] == s) for s in "abc"}
+    end = max(r["finish_time"] for r in got)
+    for s in "abc":
+        left = most[s] * have[s] - served[s]
+        assert left == 0 or (served[s] + max(n for _, x, n in docs if x == s)) / weight[s] > end
+    total = sum(served.values())
+    assert total + 3_000 > budget or total == sum(most[s] * have[s] for s in "abc")
