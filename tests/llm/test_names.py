@@ -42,7 +42,7 @@ def test_given_names_that_no_list_has(spark):
         ["Bartholomew James", "James, Bartholomew"],
     ]
     rows = [(10 * g + i, x, "Person") for g, group in enumerate(same) for i, x in enumerate(group)]
-    assert not {w for group in same[:3] for x in group for w in N.tokens(x)[0] if len(w) > 1} & N.KNOWN_GIVEN
+    assert not any(N.formal(w) for group in same[:3] for x in group for w in N.tokens(x) if len(w) > 1)
     assert linked(spark, rows)[0] == {(a, b) for a, *_ in rows for b, *_ in rows if a < b and a // 10 == b // 10}
 
 
@@ -74,39 +74,88 @@ def test_edits_against_plain_recursion():
         assert (N.osa(a, b, 2) <= 2) == (plain(a, b) <= 2)
 
 
-def test_banding_recall(spark):
+def jaccard(a, b):
+    x, y = ({g for w in n for g in N.grams(w)} for n in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("rows", [3, 4])
+def test_banding_recall(rows):
     rng = random.Random(3)
     syl = ["ka", "rum", "fos", "ti", "lox", "wan", "del", "mir", "gup", "teb"]
-    words, pairs = set(), []
-    for _ in range(300):
-        w = "".join(rng.choice(syl) for _ in range(4))
-        i = rng.randrange(len(w) - 1)
-        v = rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "q" + w[i + 1 :]])
-        words |= {w, v}
-        if v != w and len(N.grams(w) & N.grams(v)) / len(N.grams(w) | N.grams(v)) >= N.AT_SIMILARITY:
-            pairs.append((w, v))
-    keys = {}
-    for r in N.band_keys(spark.createDataFrame([("person", w, 1) for w in sorted(words)], "kind string, core string, n bigint"), N.bands_for()).collect():
-        keys.setdefault(r["core"], set()).add(r["key"])
-    met = sum(bool(keys[a] & keys[b]) for a, b in pairs)
+    pairs = []
+    for _ in range(400):
+        w, g = "".join(rng.choice(syl) for _ in range(4)), "".join(rng.choice(syl) for _ in range(2))
+        for _ in range(2):
+            i = rng.randrange(len(w) - 1)
+            v = rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "q" + w[i + 1 :]])
+        a, b = sorted([w, g]), sorted([v, rng.choice([g, g[0]])])
+        if a != b and jaccard(a, b) >= N.AT_SIMILARITY:
+            pairs.append((a, b))
+    sig = N.signatures([("person", x, [1] * len(x)) for p in pairs for x in p], N.bands_for(rows=rows), rows)
+    met = sum(bool((sig[2 * i] == sig[2 * i + 1]).any()) for i in range(len(pairs)))
     assert len(pairs) > 150 and met / len(pairs) >= 0.95
 
 
-def test_every_pair_of_one_edit_in_short_cores_is_met(spark):
-    rng, words, pairs = random.Random(5), set(), []
-    for n in [4, 5, 6, 7] * 60:
+def test_weights_make_rare_tokens_decide():
+    """Names with a common token in common rarely meet; with the rare one in common they do."""
+    common, rare = 10_000, 1
+    sig = N.signatures([("person", ["katharina", "molithpest"], [common, rare]), ("person", ["katharina", "wubockgeb"], [common, rare]), ("person", ["benedikta", "molithpest"], [common, rare])], 200, 1)
+    assert (sig[0] == sig[1]).mean() < 0.1 < 0.9 < (sig[0] == sig[2]).mean()
+
+
+def test_usual_spelling_is_learnt(spark):
+    """A misspelt given name that no list has, and a misspelt abbreviation, are put right by the table itself."""
+    words = ["Wanjirqu Sandobal", "Wanjiru Sandobal"] + [f"Wanjiru {w}" for w in ("Keltemor", "Obrigant", "Falbusek", "Nordigal")]
+    firms = ["Pelvodran Mgmt Ltd", "Pelvodran Mgmmt"] + [f"{w} Mgmt" for w in ("Gastrovin", "Umbelkran", "Horvaldis")]
+    rows = [(i, x, "Person") for i, x in enumerate(words)] + [(100 + i, x, "Company") for i, x in enumerate(firms)]
+    assert linked(spark, rows)[0] == {(0, 1), (100, 101)}
+
+
+def test_short_words_of_one_edit_are_met(spark):
+    people = [(i, f"Vera {w}", "Person") for i, w in enumerate(["Lang", "Lnag", "Meyer", "Meeyr", "Brandt", "Brnadt", "Otto", "Oto"])]
+    assert linked(spark, people)[0] == {(0, 1), (2, 3), (4, 5), (6, 7)}
+    rng = random.Random(5)
+    for n in [3, 4, 5, 6, 7] * 40:
         w = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", n))
         i = rng.randrange(n - 1)
-        v = rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[: i + 1] + "0" + w[i + 2 :]])
-        words |= {w, v}
-        if N.same_core(w, v):
-            pairs.append((w, v))
-    df, keys = spark.createDataFrame([("person", w, 1) for w in sorted(words)], "kind string, core string, n bigint"), {}
-    for r in N.edit_keys(df).collect():
-        keys.setdefault(r["core"], set()).add(r["key"])
-    assert len(pairs) > 200 and all(keys[a] & keys[b] for a, b in pairs)
-    people = [(i, f"Vera {w}", "Person") for i, w in enumerate(["Lang", "Lnag", "Meyer", "Meeyr", "Brandt", "Brnadt"])]
-    assert linked(spark, people)[0] == {(0, 1), (2, 3), (4, 5)}
+        v = rng.choice([w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[: i + 1] + "0" + w[i + 2 :]])
+        a, b = N.Name("person", ("vera", w), "", w), N.Name("person", ("vera", v), "", v)
+        assert len(v) > 7 or N.edit_keys(a) & N.edit_keys(b)
+
+
+def test_stars_settle_in_rounds_and_take_no_chains(spark):
+    """9 > 8 > ... > 1 in a row: every second name is a centre, and nothing is linked over more than one link."""
+    links = spark.createDataFrame([(i, i + 1, 0.9) for i in range(1, 9)], "member bigint, leader bigint, s double")
+    assert {(r["member"], r["centre"]) for r in N.stars(links).collect()} == {(8, 9), (6, 7), (4, 5), (2, 3)}
+
+
+def test_recall_and_precision_on_made_variants(spark):
+    """Hundreds of people and firms of invented words, with reordered, shortened and misspelt spellings."""
+    rng = random.Random(11)
+    syl = ["ba", "chor", "del", "fin", "gro", "hul", "jem", "kas", "lor", "mup", "nex", "pri", "quo", "rud", "sta", "tiv", "vem", "wog", "yal", "zun"]
+    word = lambda k: "".join(rng.choice(syl) for _ in range(k)).capitalize()
+    given, what = [word(2) for _ in range(30)], [word(3) for _ in range(16)]
+
+    def slip(w):
+        i = rng.randrange(1, len(w) - 1)
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+    rows, entity, i = [], {}, 0
+    for e in range(240):
+        if e % 3:
+            g, s = rng.choice(given), word(3)
+            forms = [f"{g} {s}", f"{s}, {g}", f"{g[0]}. {s}", f"{slip(g)} {s}", f"{g} {slip(s)}", f"Dr {g} {s}".upper(), f"{g}.{s}".lower(), f"{g[0]}{s}".lower()]
+        else:
+            s, a, b = word(3), *rng.sample(what, 2)
+            forms = [f"{s} {a} {b}", f"{s} {a} {b} Ltd", f"{a} {b} {s}", f"{s} {a[:3]}. {b}", f"{s} {a} {b[0]}{b[2]}{b[-1]}", f"{slip(s)} {a} {b}", f"The {s} {slip(a)} {b}"]
+        for f in rng.sample(forms, 5):
+            rows.append((i, f, "Person" if e % 3 else "Organization"))
+            entity[i] = e
+            i += 1
+    got, _ = linked(spark, rows)
+    want = {(a, b) for a in entity for b in entity if a < b and entity[a] == entity[b]}
+    assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.99
 
 
 @pytest.mark.parametrize("s", [0.5, 0.55, 0.7])
