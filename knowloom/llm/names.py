@@ -262,9 +262,9 @@ def _met(w: str, others: tuple[str, ...], kind: str) -> bool:
     return kind != "org" and (bool((f := formal(w)) and any(f & formal(y) for y in others)) or any(min(len(w), len(y)) == 1 and alike(w, y, "person") > 0 for y in others))
 
 
-def glued(word: str, heavy: str) -> bool:
-    """A one-word name that is a letter before the other's weightiest token, as in user names."""
-    return len(word) > 4 and osa(word[1:], heavy, 2) < osa(word, heavy, 2)
+def glued(word: str, other: str) -> bool:
+    """A one-word name that is a letter before another word, as in user names."""
+    return len(word) > 4 and len(other) > 2 and -3 < len(word) - 1 - len(other) < 3 and osa(word[1:], other, 2) < osa(word, other, 2)
 
 
 def similarity(a: Name, b: Name) -> float:
@@ -276,9 +276,10 @@ def similarity(a: Name, b: Name) -> float:
         return 1.0
     if kind != "org":
         for x, y in ((a, b), (b, a)):
-            if len(x.tokens) == 1 < len(y.tokens) and glued(x.tokens[0], y.heavy):
-                rest = [w for w in y.tokens if w != y.heavy]
-                return 0.9 if any(alike(x.tokens[0][0], w, "person") > 0 for w in rest) else 0.0
+            if len(x.tokens) == 1 < len(y.tokens):
+                for w in y.tokens:
+                    if glued(x.tokens[0], w):
+                        return 0.9 if any(alike(x.tokens[0][0], v, "person") > 0 for v in y.tokens if v != w) else 0.0
     if not ((not a.clear or _met(a.heavy, b.tokens, kind)) and (not b.clear or _met(b.heavy, a.tokens, kind))):
         return 0.0
     s = monge_elkan(a.tokens, b.tokens, kind)
