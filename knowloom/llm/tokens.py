@@ -1,11 +1,16 @@
 """Encoding a corpus with a public byte-level BPE tokenizer, long texts in parallel.
 
-Short texts are encoded where they are read. A long text is cut, at places where no token can ever reach across, into leaves
-of a bounded size. Where a stretch without such a place (a pre-token) is itself too long, it is halved again and again, as the
-merges of byte-pair encoding cost more than linear time on it. Leaves are encoded in parallel. Then neighbours are joined in
-a tree: tokens around a join are encoded again in growing windows until the window's first and last token are the same as on
-the left and the right side. Such a sequence is the one encoding of the whole: byte-pair encoding is decided by adjacent
-pairs of tokens alone, and every adjacent pair occurs in an encoding of its own.
+Short texts are encoded where they are read. A long text is cut into leaves of a fixed number of characters, wherever that is; the
+leaves are encoded in parallel, each as if it were a text. Neighbours are then joined in a tree: FAN of them in a task, and the
+results again. Around a join, text is split and encoded again in a window that grows until it agrees with both sides:
+
+- On the left it begins before the last two pre-tokens, as what follows can change no more than these (a contraction looks two
+  characters ahead, white space to its end). On the right it grows until one of its own boundaries is one of the right side's as
+  well; from there on both are split alike, as a pre-token depends on nothing before it.
+- Where one pre-token goes on over the join, as in text without any blank, its two encodings are merged: tokens around the join are
+  encoded again until the window's first and last token are those of the left and the right side. Such a sequence is the one
+  encoding of the whole: byte-pair encoding is decided by adjacent pairs of tokens alone, and every adjacent pair occurs in an
+  encoding of its own.
 """
 
 from __future__ import annotations
@@ -15,10 +20,12 @@ import functools
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowloom.session import row_count, spread
@@ -26,136 +33,139 @@ from knowloom.session import row_count, spread
 TOKENIZERS = os.environ.get("KNOWLOOM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A text of more characters is cut into leaves of about so many; a pre-token of more bytes than PIECE is halved.
-LONG, LEAF, PIECE = 8_192, 4_096, 2_048
-
-
-@functools.lru_cache(maxsize=4)
-def encoding(name: str, folder: str) -> tiktoken.Encoding:
-    """The rank file `name`.tiktoken; loaded once per Python worker."""
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+#: Characters of a leaf; texts of more are cut. Neighbours that one task joins.
+LEAF, FAN = 2_048, 256
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, name: str, folder: str) -> None:
+    """Send the vocabulary to the Python workers, once per application: they needn't have its folder."""
+    app = (spark.sparkContext.applicationId, f"{folder}/{name}.tiktoken")
+    if app not in _SHIPPED and os.path.exists(app[1]):
+        spark.sparkContext.addFile(app[1])
+        _SHIPPED.add(app)
+
+
+@functools.lru_cache(maxsize=8)
+def encoding(name: str, folder: str, whole: bool = False) -> tiktoken.Encoding:
+    """The rank file `name`.tiktoken, loaded once per Python worker; whole: every text is one pre-token."""
+    path = f"{folder}/{name}.tiktoken"
+    try:
+        sent = SparkFiles.get(f"{name}.tiktoken")
+        path = sent if os.path.exists(sent) else path
+    except Exception:  # noqa: BLE001, S110
+        pass  # no Spark here
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name + "-whole" * whole, pat_str=r"[\s\S]+" if whole else PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class Joiner:
+    """Encodes leaves and joins neighbours. A node is (ids, ends): ends[i] is the number of ids up to the end of pre-token i."""
+
+    def __init__(self, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> None:
+        self.enc, self.whole = encoding(name, folder), encoding(name, folder, True)
+        self.pattern = regex.compile(PATTERN)
+        tokens = self.enc.token_byte_values()
+        lengths = {self.enc.encode_single_token(t): len(t) for t in tokens}
+        self.size = np.array([lengths.get(i, 0) for i in range(max(lengths) + 1)])
+
+    def text(self, ids: list[int]) -> str:
+        return self.enc.decode_bytes(ids).decode("utf-8", "surrogatepass")
+
+    def leaf(self, text: str) -> tuple[list[int], list[int]]:
+        ids = self.enc.encode_ordinary(text)
+        at = np.cumsum([len(m.group().encode("utf-8", "surrogatepass")) for m in self.pattern.finditer(text)])
+        return ids, (np.searchsorted(np.cumsum(self.size[ids]), at) + 1).tolist() if ids else []
+
+    def _inside(self, token: int) -> bool:
+        """The token begins within a character."""
+        return self.enc.decode_single_token_bytes(token)[0] & 0xC0 == 0x80
+
+    def merge(self, a: list[int], b: list[int]) -> list[int]:
+        """The encoding of two neighbouring stretches of one pre-token, from the encodings of each, by growing windows."""
+        n = 2
+        while True:
+            i, j = max(0, len(a) - n), min(len(b), n)
+            while i and self._inside(a[i]):
+                i -= 1
+            while j < len(b) and self._inside(b[j]):
+                j += 1
+            w = self.whole.encode_ordinary(self.text(a[i:] + b[:j]))
+            all_ = i == 0 and j == len(b)
+            if all_ or (len(w) > 1 and (i == 0 or w[0] == a[i]) and (j == len(b) or w[-1] == b[j - 1])):
+                return a[:i] + w + b[j:]
+            n *= 2
+
+    def join(self, a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> tuple[list[int], list[int]]:
+        (ia, ea), (ib, eb) = a, b
+        if not ia or not ib:
+            return a if ia else b
+        keep = max(0, len(ea) - 2)
+        s = ea[keep - 1] if keep else 0
+        left = self.text(ia[s:])
+        last = len(left) - len(self.text(ia[ea[-2] :] if len(ea) > 1 else ia))  # where the left side's last pre-token begins
+        own, right, n = [len(left)], "", 4
+        while True:
+            for k in range(len(own) - 1, min(n, len(eb))):
+                right += self.text(ib[eb[k - 1] if k else 0 : eb[k]])
+                own.append(len(left) + len(right))
+            cuts = [m.end() for m in self.pattern.finditer(left + right)]
+            safe = cuts if len(own) > len(eb) else cuts[:-2]
+            k = next((k for k, e in enumerate(own) if e in set(safe)), None)
+            if k is not None:
+                break
+            n *= 2
+        text, ids, ends, x = left + right, ia[:s], ea[:keep], 0
+        for y in cuts[: cuts.index(own[k]) + 1]:
+            if x == last and y == own[1] and k:
+                got = self.merge(ia[ea[-2] if len(ea) > 1 else 0 :], ib[: eb[0]])
+            else:
+                got = self.whole.encode_ordinary(text[x:y])
+            ids = ids + got
+            ends = [*ends, len(ids)]
+            x = y
+        from_ = eb[k - 1] if k else 0
+        shift = len(ids) - from_
+        return ids + ib[from_:], ends + [e + shift for e in eb[k:]]
+
+    def tree(self, nodes: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int]]:
+        """Join neighbours level by level."""
+        while len(nodes) > 1:
+            nodes = [self.join(nodes[k], nodes[k + 1]) if k + 1 < len(nodes) else nodes[k] for k in range(0, len(nodes), 2)]
+        return nodes[0] if nodes else ([], [])
 
 
-@functools.cache
-def _pretokens():
-    return regex.compile(PATTERN)
-
+@functools.lru_cache(maxsize=4)
+def joiner(name: str, folder: str) -> Joiner:
+    return Joiner(name, folder)
 
-def merge(enc: tiktoken.Encoding, a: list[int], b: list[int]) -> list[int]:
-    """The encoding of two neighbouring stretches of one pre-token, from the encodings of each.
 
-    The window takes n tokens on both sides and doubles until its new encoding begins with the left side's first and ends
-    with the right side's last window token, or reaches an end of the stretch, where nothing is left to agree with.
-    """
-    if not a or not b:
-        return a + b
-    n = 2
-    while True:
-        i, j = max(0, len(a) - n), min(len(b), n)
-        w = enc._encode_single_piece(enc.decode_bytes(a[i:] + b[:j]))
-        left = i == 0 or (w[0] == a[i])
-        right = j == len(b) or (w[-1] == b[j - 1])
-        if left and right and (len(w) > 1 or (i == 0 and j == len(b))):
-            return a[:i] + w + b[j:]
-        n *= 2
-
-
-def merge_tree(enc: tiktoken.Encoding, parts: list[list[int]]) -> list[int]:
-    """Join neighbours level by level."""
-    while len(parts) > 1:
-        parts = [merge(enc, parts[k], parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-    return parts[0] if parts else []
-
-
-def halves(piece: bytes, limit: int) -> list[bytes]:
-    """Leaves of a binary tree over a pre-token's bytes, none longer than `limit`."""
-    if len(piece) <= limit:
-        return [piece]
-    m = len(piece) // 2
-    return halves(piece[:m], limit) + halves(piece[m:], limit)
-
-
-def leaves(text: str, leaf: int = LEAF, piece: int = PIECE) -> Iterator[tuple[bool, int, bytes]]:
-    """(whole, run, bytes): leaves of a text in order. whole: made of entire pre-tokens; else a part of pre-token `run`.
-
-    A cut is safe between a letter or digit and a following blank or line end: no pre-token reaches across, and each side
-    splits alone as it does in the whole. White space right before an overlong pre-token has no such place, as its split
-    looks ahead; its pre-tokens become leaves of their own.
-    """
-    start = size = run = 0
-    space: list[str] = []  # pre-tokens of white space only, up to here
-    for m in _pretokens().finditer(text):
-        n = m.end() - m.start()
-        if n * 4 > piece and len(raw := m.group().encode()) > piece:
-            end = m.start() - sum(map(len, space))
-            if start < end:
-                yield True, run, text[start:end].encode()
-            for x in [*space, raw]:
-                run += 1
-                for y in halves(x if isinstance(x, bytes) else x.encode(), piece):
-                    yield False, run, y
-            run += 1
-            start, size, space = m.end(), 0, []
-            continue
-        size += n
-        space = [*space, m.group()] if m.group().isspace() else []
-        if size >= leaf and text[m.end() - 1].isalnum() and text[m.end() : m.end() + 1] in (" ", "\n"):
-            yield True, run, text[start : m.end()].encode()
-            start, size, space = m.end(), 0, []
-    if start < len(text):
-        yield True, run, text[start:].encode()
-
-
-def encode_leaf(enc: tiktoken.Encoding, whole: bool, raw: bytes) -> list[int]:
-    return enc.encode_ordinary(raw.decode()) if whole else enc._encode_single_piece(raw)
-
-
-def join_leaves(enc: tiktoken.Encoding, parts: list[tuple[bool, int, list[int]]]) -> list[int]:
-    """All leaves of a text in order, to its ids: parts of one pre-token in a tree, whole leaves end to end."""
-    out: list[int] = []
-    k = 0
-    while k < len(parts):
-        whole, run, ids = parts[k]
-        if whole:
-            out.extend(ids)
-            k += 1
-        else:
-            e = k
-            while e < len(parts) and not parts[e][0] and parts[e][1] == run:
-                e += 1
-            out.extend(merge_tree(enc, [p[2] for p in parts[k:e]]))
-            k = e
-    return out
-
-
-def encode_text(enc: tiktoken.Encoding, text: str | None) -> list[int]:
+def encode_text(text: str | None, leaf: int = LEAF, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> list[int]:
     """One text in one place: as the distributed way does it."""
-    if not text:
-        return []
-    if len(text) <= PIECE // 4:
-        return enc.encode_ordinary(text)
-    return join_leaves(enc, [(w, r, encode_leaf(enc, w, raw)) for w, r, raw in leaves(text)])
+    j = joiner(name, folder)
+    return j.tree([j.leaf(text[a : a + leaf]) for a in range(0, len(text), leaf)])[0] if text else []
 
 
 def _lists(values: list[list[int]]) -> pa.Array:
     return pa.array(values, pa.list_(pa.int32()))
 
 
-def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, long: int = LONG, leaf: int = LEAF, piece: int = PIECE, counts_only: bool = False, extra: list[str] | None = None) -> DataFrame:
+def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = LEAF, fan: int = FAN, counts_only: bool = False, extra: list[str] | None = None) -> DataFrame:
     """(<id>, ids array<int>) for every row, or with counts_only (<id>, n_tokens bigint).
 
     Empty and null texts have the empty list. Strings of special tokens in a text are ordinary text. Every row comes out,
-    repeated ones too; a null id stays null. Long texts don't fall back on anything: their ids are those of the whole.
+    repeated ones too; a null id stays null. Texts of more than `leaf` characters are encoded by leaves and joined.
     """
+    ship(df.sparkSession, tokenizer, folder)
     extra = extra or []
     key = F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(extra)])
     rows = df.select(key.alias("key"), F.col(text_col).alias("t"))
     kind = rows.schema["key"].dataType.simpleString()
-    is_long = F.coalesce(F.length("t") > long, F.lit(False))
+    is_long = F.coalesce(F.length("t") > leaf, F.lit(False))
     schema = f"key {kind}, " + ("n bigint" if counts_only else "ids array<int>")
     last = "n" if counts_only else "ids"
+    node = f"row bigint, key {kind}, k bigint, ids array<int>, ends array<int>"
 
     def result(ids: list[list[int]]) -> pa.Array:
         return pa.array(map(len, ids), pa.int64()) if counts_only else _lists(ids)
@@ -168,28 +178,33 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                got = list(leaves(b.column(2)[i].as_py(), leaf, piece))
-                for s in range(0, len(got), 4096):
-                    g = got[s : s + 4096]
-                    same = lambda c: c.take(pa.array([i] * len(g)))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([same(b.column(0)), same(b.column(1)), pa.array(range(s, s + len(g)), pa.int32()), pa.array([x[0] for x in g], pa.bool_()), pa.array([x[1] for x in g], pa.int32()), pa.array([x[2] for x in g], pa.binary())], ["row", "key", "k", "whole", "run", "raw"])
+                t = b.column(2)[i].as_py()
+                for s in range(0, len(t), 1_000 * leaf):
+                    parts = [t[a : a + leaf] for a in range(s, min(len(t), s + 1_000 * leaf), leaf)]
+                    same = lambda c: c.take(pa.array([i] * len(parts)))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(b.column(0)), same(b.column(1)), pa.array(range(s // leaf, s // leaf + len(parts)), pa.int64()), pa.array(parts, pa.string())], ["row", "key", "k", "part"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer, folder)
+        j = joiner(tokenizer, folder)
         for b in batches:
-            ids = [encode_leaf(enc, w, raw) for w, raw in zip(b.column(3).to_pylist(), b.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], _lists(ids)], ["row", "key", "k", "whole", "run", "ids"])
+            got = [j.leaf(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _lists([x[0] for x in got]), _lists([x[1] for x in got])], ["row", "key", "k", "ids", "ends"])
 
     def join(t: pa.Table) -> pa.Table:
         t = t.sort_by("k")
-        ids = join_leaves(encoding(tokenizer, folder), list(zip(t["whole"].to_pylist(), t["run"].to_pylist(), t["ids"].to_pylist())))
-        return pa.table([t["key"].slice(0, 1), result([ids])], ["key", last])
+        ids, ends = joiner(tokenizer, folder).tree(list(zip(t["ids"].to_pylist(), t["ends"].to_pylist())))
+        return pa.table([t["row"].slice(0, 1), t["key"].slice(0, 1), pa.array([t["k"][0].as_py() // fan], pa.int64()), _lists([ids]), _lists([ends])], ["row", "key", "k", "ids", "ends"])
+
+    def finish(t: pa.Table) -> pa.Table:
+        j = join(t)
+        return pa.table([j["key"], result(j["ids"].to_pylist())], ["key", last])
 
     done = spread(rows.where(~is_long), "key", 5_000, row_count(df)).mapInArrow(short, schema)
-    # A number of its own keeps rows with equal ids apart; what is shuffled is the cut leaves, by their own place.
-    parts = rows.where(is_long).select(F.monotonically_increasing_id().alias("row"), "key", "t").mapInArrow(cut, f"row bigint, key {kind}, k int, whole boolean, run int, raw binary")
-    joined = parts.repartition("row", "k").mapInArrow(encode, f"row bigint, key {kind}, k int, whole boolean, run int, ids array<int>").groupBy("row").applyInArrow(join, schema)
-    out = done.unionByName(joined)
+    # A number of its own keeps rows with equal ids apart; what is shuffled is the leaves, by their own place.
+    parts = rows.where(is_long).select(F.monotonically_increasing_id().alias("row"), "key", "t").mapInArrow(cut, f"row bigint, key {kind}, k bigint, part string")
+    nodes = parts.repartition("row", "k").mapInArrow(encode, node)
+    blocks = nodes.groupBy("row", F.floor(F.col("k") / fan).alias("block")).applyInArrow(join, node)
+    out = done.unionByName(blocks.groupBy("row").applyInArrow(finish, schema))
     return out.select(F.col("key.id").alias(id_col), *[F.col(f"key.x{i}").alias(c) for i, c in enumerate(extra)], F.col("n").alias("n_tokens") if counts_only else F.col("ids"))
 
 

@@ -16,14 +16,31 @@ def enc():
 
 @pytest.mark.parametrize("seed", range(8))
 def test_leaves_and_tree(enc, seed):
+    """Leaves cut anywhere, joined in a tree, give the ids of the whole."""
     rng = random.Random(seed)
-    for _ in range(80):
+    for _ in range(120):
         some = rng.sample(PARTS, rng.randint(1, 6))
         t = "".join(rng.choice(some) for _ in range(rng.randint(1, 120)))
         want = enc.encode_ordinary(t)
-        for leaf, piece in ((5, 3), (20, 8), (50, 64)):
-            got = T.join_leaves(enc, [(w, r, T.encode_leaf(enc, w, raw)) for w, r, raw in T.leaves(t, leaf, piece)])
-            assert got == want, (t, leaf, piece)
+        for leaf in (1, 2, 5, 20, 50):
+            assert T.encode_text(t, leaf) == want, (t, leaf)
+
+
+def test_one_word_and_one_blank_over_many_leaves(enc):
+    rng = random.Random(4)
+    for t in ("ab" * 3_000, "".join(rng.choice("abcdefgh") for _ in range(6_000)), "文字中" * 1_500, " " * 5_000 + "x", "x" + "\n" * 4_000, "é" * 3_000 + "'ll" * 900, "'" * 2_000 + "re"):
+        assert T.encode_text(t, 64) == enc.encode_ordinary(t)
+
+
+def test_windows_stay_small(enc, monkeypatch):
+    """A join encodes some tokens around it again, not the sides."""
+    j = T.Joiner()
+    a, b = (j.leaf("".join(random.Random(s).choice("abcdefgh") for _ in range(5_000))) for s in (1, 2))
+    seen = []
+    real = j.whole.encode_ordinary
+    j.whole = type("W", (), {"encode_ordinary": staticmethod(lambda t: seen.append(len(t)) or real(t))})()
+    ids, _ = j.join(a, b)
+    assert ids == enc.encode_ordinary(j.text(a[0]) + j.text(b[0])) and sum(seen) < 500
 
 
 def test_tables(spark, enc):
@@ -33,6 +50,8 @@ def test_tables(spark, enc):
     got = sorted(((r["doc_id"], r["ids"]) for r in T.token_ids(df).collect()), key=str)
     want = sorted([(i, enc.encode_ordinary(t) if t else []) for i, t in enumerate(texts)] + [(0, enc.encode_ordinary("hello world")), (None, enc.encode_ordinary("x"))], key=str)
     assert got == want
+    small = T.token_ids(df, leaf=100, fan=3)
+    assert sorted(((r["doc_id"], r["ids"]) for r in small.collect()), key=str) == want
     counts = {r["doc_id"]: r["n_tokens"] for r in T.token_counts(df, extra=["key"]).where("doc_id > 0").collect()}
     assert counts == {i: len(x) for i, x in want if i}
     assert T.token_ids(df.limit(0)).count() == 0
@@ -45,4 +64,4 @@ def test_agrees_with_the_other_library(enc):
     rng = random.Random(2)
     for _ in range(200):
         s = "".join(rng.choice(PARTS) for _ in range(40))
-        assert t.encode(s, add_special_tokens=False).ids == T.encode_text(enc, s)
+        assert t.encode(s, add_special_tokens=False).ids == T.encode_text(s, 8)
