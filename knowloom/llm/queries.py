@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knowloom.llm import encodings, mixing, names, splitting, tokens
 from knowloom.queries import table
+from knowloom.session import materialize, scratch_path
 
 
 def p1_found(spark, d):
@@ -17,6 +18,32 @@ def p1_pieces(spark, d):
     return splitting.split_chunks(table(spark, d, "raw_chunks"))
 
 
+def _sound(pieces, by, at):
+    """Per text: how far its pieces reach, and whether each is within the limit and begins 64 characters before the last one's end."""
+    w = Window.partitionBy(*by).orderBy(at)
+    x = pieces.withColumn("before", F.lag("char_end").over(w)).withColumn("no", F.row_number().over(w) - 1)
+    good = (F.length("content") <= splitting.LIMIT) & (F.length("content") == F.col("char_end") - F.col("char_start"))
+    fits = F.when(F.col("before").isNull(), F.col("char_start") == 0).otherwise(F.col("char_start") == F.col("before") - splitting.OVERLAP)
+    return x.groupBy(*by).agg(F.max("char_end").alias("chars"), F.bool_and(good).alias("within_limit"), F.bool_and(fits & (F.col("no") == F.col("piece_index"))).alias("overlap_kept"))
+
+
+def p1_checks(spark, d):
+    """Every oversized content of every chunk, with what its pieces must fulfil; the whole text comes back from them."""
+    x = table(spark, d, "raw_chunks")
+    p = splitting.split_chunks(x).withColumn("item", F.expr("substring_index(chunk_id, '-', -1)")).withColumn("item", F.expr("substring(chunk_id, 1, length(chunk_id) - length(item) - 1)"))
+    back = p.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("piece_index", "content"))).alias("c"))
+    back = back.select("item", F.sha2(F.concat(F.col("c")[0]["content"], F.array_join(F.transform(F.slice("c", 2, 1_000_000), lambda z: F.substring(z["content"], splitting.OVERLAP + 1, splitting.LIMIT)), "")), 256).alias("text_hash"))
+    return _sound(p, ["parent_chunk_id", "item"], "piece_index").join(back, "item").select(F.col("parent_chunk_id").alias("chunk_id"), F.col("chars").cast("bigint"), "text_hash", "within_limit", "overlap_kept")
+
+
+def p1_files(spark, d):
+    """All texts of the documents written one after the other into few large files, cut by byte ranges: what holds for them together."""
+    path = scratch_path(spark, "texts")
+    table(spark, d, "documents").select("text").write.text(path)
+    p = materialize(splitting.split_files(spark, path), "filepieces")
+    return _sound(p, ["item"], "piece_index").agg(F.sum("chars").cast("bigint").alias("chars"), F.bool_and("within_limit").alias("within_limit"), F.bool_and("overlap_kept").alias("overlap_kept"))
+
+
 def p5_found(spark, d):
     return names.linked_pairs(names.link_names(table(spark, d, "entity_records")))
 
@@ -75,7 +102,7 @@ def p8_restored(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_entities, p6_ids, p6_counts, p7_mix, p7_shares, p7_checks, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p5_found, p5_entities, p6_ids, p6_counts, p7_mix, p7_shares, p7_checks, p8_found, p8_restored)}
 
 
 P7 = """with t as (select mix_name, source, max(target_share) as target_share, max(max_repeats) as max_repeats from mix_targets group by all),
@@ -85,4 +112,9 @@ select mix_name, source, round(case when usable then target_share / sum(case whe
 
 
 def oracle_sql():
-    return {"p1_found": "select distinct chunk_id from raw_chunks where length(content) > 512 and chunk_id is not null", "p7_checks": P7}
+    return {
+        "p1_found": "select distinct chunk_id from raw_chunks where length(content) > 512 and chunk_id is not null",
+        "p1_checks": "select distinct coalesce(chunk_id, '') as chunk_id, length(content) as chars, sha256(content) as text_hash, true as within_limit, true as overlap_kept from raw_chunks where length(content) > 512",
+        "p1_files": "select (sum(length(coalesce(text, ''))) + count(*))::bigint as chars, true as within_limit, true as overlap_kept from documents",
+        "p7_checks": P7,
+    }

@@ -22,9 +22,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knowloom.session import materialize
+
 LIMIT, OVERLAP = 512, 64
 #: Characters of a range of a text in a table, bytes of a range of a file, ranges composed into a block.
-RANGE_CHARS, RANGE_BYTES, BLOCK = 65_536, 1 << 20, 256
+RANGE_CHARS, RANGE_BYTES, BLOCK = 4_096, 1 << 20, 256
 LEFT_HALO = 4
 
 #: Characters that end lines, sentences and clauses, and ranges of characters that belong to the one before.
@@ -153,7 +155,7 @@ def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _tables(ranges: DataFrame, rule: Rule) -> DataFrame:
-    """Each range's boundary table: (item, r, n, to, cnt)."""
+    """Each range's boundary table: (item, r, n, to, cnt). A range has far fewer pieces than an int holds."""
 
     def work(batches):
         for b in batches:
@@ -162,17 +164,17 @@ def _tables(ranges: DataFrame, rule: Rule) -> DataFrame:
             for left, n, part in zip(lefts, ns, parts):
                 e, c = entry_table(next_starts(part, left, n, rule)[1], n, rule)
                 to.append(e.astype(np.int32))
-                cnt.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(rs, pa.int64()), pa.array(ns, pa.int64()), pa.array(to, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int64()))], ["item", "r", "n", "to", "cnt"])
+                cnt.append(c.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(rs, pa.int64()), pa.array(ns, pa.int64()), pa.array(to, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32()))], ["item", "r", "n", "to", "cnt"])
 
-    return ranges.mapInArrow(work, "item string, r bigint, n bigint, to array<int>, cnt array<bigint>")
+    return ranges.mapInArrow(work, "item string, r bigint, n bigint, to array<int>, cnt array<int>")
 
 
 def stitch(tables: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     """(item, r, entry, first_piece, char0): where the chain enters each range, the number of its first piece, its place.
 
     Composes blocks of ranges in parallel, walks each item's blocks, then each block's ranges. A task holds the tables of one
-    block, or of one item's blocks (a 65,536th of its ranges' characters), never an item's text.
+    block, or of one item's blocks (BLOCK ranges each), never an item's text.
     """
 
     def whole_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -274,9 +276,9 @@ def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int
                 yield pa.RecordBatch.from_arrays([pa.array([it]), pa.array([r], pa.int64()), pa.array([left], pa.int32()), pa.array([len(body)], pa.int32()), pa.array([head[len(head) - left :] + body + tail])], ["item", "r", "lead", "n", "part"])
 
     ranges = parts.select("item", "length", "r").mapInArrow(read, RANGES)
-    out = _emit(ranges, stitch(_tables(ranges, rule), rule), rule)
-    alone = out.groupBy("item").agg(F.max("piece_index").alias("m")).where("m > 0").select("item")
-    return out.join(alone, "item", "left_semi")
+    tables = materialize(_tables(ranges, rule), "tables")
+    long = tables.groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("item")
+    return _emit(ranges, materialize(stitch(tables.join(long, "item", "left_semi"), rule), "entries"), rule)
 
 
 def split_chunks(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS) -> DataFrame:
