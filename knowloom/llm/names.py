@@ -90,10 +90,20 @@ def edits_allowed(n: int) -> int:
     return 0 if n < 3 else 1 if n < 8 else 2
 
 
+@functools.lru_cache(maxsize=200_000)
+def letters(w: str) -> int:
+    """A bit for each letter of a word, by its code modulo 64."""
+    x = 0
+    for c in w:
+        x |= 1 << (ord(c) & 63)
+    return x
+
+
 @functools.lru_cache(maxsize=300_000)
 def close(a: str, b: str) -> bool:
+    """Few edits apart. An edit changes two of the letters at most, which tells most pairs apart at once."""
     m = edits_allowed(min(len(a), len(b)))
-    return osa(a, b, m) <= m
+    return abs(len(a) - len(b)) <= m and (letters(a) ^ letters(b)).bit_count() <= 2 * m and osa(a, b, m) <= m
 
 
 def grams(token: str, q: int = Q) -> list[str]:
@@ -255,7 +265,7 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...], kind: str) -> float:
 
 def _met(w: str, others: tuple[str, ...], kind: str) -> bool:
     """A name's weightiest token is, perhaps misspelt, shortened by itself or (of persons) as an initial, among the other's."""
-    if w in others or any(len(y) > 1 and (y[0] == w[0] or len(w) > 3) and -3 < len(y) - len(w) < 3 and close(w, y) for y in others):
+    if w in others or any(len(y) > 1 and (y[0] == w[0] or len(w) > 3) and (letters(w) ^ letters(y)).bit_count() < 5 and close(w, y) for y in others):
         return True
     if kind != "person" and any(len(w) < len(y) and alike(w, y, "org") >= MATCHED for y in others):
         return True
@@ -412,28 +422,31 @@ def initial_keys(n: Name) -> tuple[set[str], bool]:
 
 
 def key_rows(names: DataFrame, rows: int) -> DataFrame:
-    """(key, nid, full): every band of each name's signature, its edit keys and its initial keys; full: a full name by an initial key."""
+    """(key, nid, rank, full, body): every band of each name's signature, its edit keys and its initial keys; full: a full name by an initial key. body: the name."""
     bands = bands_for(rows=rows)
+    kind = "key bigint, nid bigint, rank bigint, full boolean, body string"
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in range(0, len(b), 500):
                 x = b.iloc[s : s + 500]
-                todo = list(zip(x["nid"], x["kind"], x["tokens"], x["common"]))
+                todo = list(zip(range(len(x)), x["kind"], x["tokens"], x["common"]))
                 # A one-word name may be a user name: it is also read as an initial and a word.
                 todo += [(i, k, [t[0][0], t[0][1:]], [n[0], n[0]]) for i, k, t, n in todo if len(t) == 1 and len(t[0]) > 4 and k != "org"]
-                key = signatures([t[1:] for t in todo], bands, rows)
-                yield pd.DataFrame({"key": key.ravel(), "nid": np.repeat(np.array([t[0] for t in todo]), bands), "full": False})
-                more = []
-                for i, kind, t, r, h in zip(x["nid"], x["kind"], x["tokens"], x["region"], x["heavy"]):
-                    n = Name(kind, tuple(t), r, h)
-                    more += [(_text_key(k), i, False) for k in sorted(edit_keys(n))]
-                    keys, full = initial_keys(n)
-                    more += [(_text_key(k), i, full) for k in sorted(keys)]
-                if more:
-                    yield pd.DataFrame(more, columns=["key", "nid", "full"])
+                key = [signatures([t[1:] for t in todo], bands, rows).ravel()]
+                at, full = [np.repeat(np.array([t[0] for t in todo]), bands)], [np.zeros(len(key[0]), bool)]
+                for i, (k, t, r, h) in enumerate(zip(x["kind"], x["tokens"], x["region"], x["heavy"])):
+                    n = Name(k, tuple(t), r, h)
+                    initials, whole = initial_keys(n)
+                    for more, flag in ((sorted(edit_keys(n)), False), (sorted(initials), whole)):
+                        key.append(np.array([_text_key(m) for m in more], np.int64))
+                        at.append(np.full(len(more), i))
+                        full.append(np.full(len(more), flag))
+                at = np.concatenate(at)
+                yield pd.DataFrame({"key": np.concatenate(key), "nid": x["nid"].to_numpy()[at], "rank": x["rank"].to_numpy()[at], "full": np.concatenate(full), "body": x["body"].to_numpy()[at]})
 
-    return names.select("nid", "kind", "tokens", "common", "region", "heavy").repartition(tasks(names), "nid").mapInPandas(work, "key bigint, nid bigint, full boolean")
+    body = F.concat_ws("\t", "kind", "region", "heavy", F.col("clear").cast("int").cast("string"), F.array_join("tokens", " "))
+    return names.select("nid", "rank", "kind", "tokens", "common", "region", "heavy", body.alias("body")).repartition(tasks(names), "nid").mapInPandas(work, kind)
 
 
 def _text_key(k: str) -> int:
@@ -449,8 +462,7 @@ def name_links(names: DataFrame, rows: int) -> DataFrame:
     A bucket is taken in order of rank, as a stream: only its leaders stay in memory. Full names by their initials lead and aren't
     compared among themselves. Keys that one name has alone are left out before that.
     """
-    body = F.concat_ws("\t", "kind", "region", "heavy", F.col("clear").cast("int").cast("string"), F.array_join("tokens", " "))
-    keys = key_rows(names, rows).join(names.select("nid", "rank", body.alias("body")), "nid").repartition(tasks(names), "key")
+    keys = key_rows(names, rows).repartition(tasks(names), "key")
     w = Window.partitionBy("key").orderBy(F.desc("rank"), "nid")
     shared = keys.withColumns({"p_": F.lag("nid").over(w), "n_": F.lead("nid").over(w)}).where("p_ is not null or n_ is not null").select("key", "nid", "full", "body")
 
