@@ -34,7 +34,7 @@ TOKENIZERS = os.environ.get("KNOWLOOM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a leaf; texts of more are cut. Neighbours that one task joins.
-LEAF, FAN = 2_048, 256
+LEAF, FAN = 4_096, 256
 _SHIPPED: set[tuple[str, str]] = set()
 
 
@@ -190,21 +190,36 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
             got = [j.leaf(t) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], _lists([x[0] for x in got]), _lists([x[1] for x in got])], ["row", "key", "k", "ids", "ends"])
 
-    def join(t: pa.Table) -> pa.Table:
-        t = t.sort_by("k")
-        ids, ends = joiner(tokenizer, folder).tree(list(zip(t["ids"].to_pylist(), t["ends"].to_pylist())))
-        return pa.table([t["row"].slice(0, 1), t["key"].slice(0, 1), pa.array([t["k"][0].as_py() // fan], pa.int64()), _lists([ids]), _lists([ends])], ["row", "key", "k", "ids", "ends"])
+    def join(batches: Iterator[pa.RecordBatch], block: bool) -> Iterator[pa.RecordBatch]:
+        """Sorted nodes to one node for each block of neighbours, or to one result for each row."""
+        j, at, held = joiner(tokenizer, folder), None, []
 
-    def finish(t: pa.Table) -> pa.Table:
-        j = join(t)
-        return pa.table([j["key"], result(j["ids"].to_pylist())], ["key", last])
+        def done() -> pa.RecordBatch:
+            ids, ends = j.tree([x[2:] for x in held])
+            row, k = at
+            if block:
+                return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), held[0][1], pa.array([k], pa.int64()), _lists([ids]), _lists([ends])], ["row", "key", "k", "ids", "ends"])
+            return pa.RecordBatch.from_arrays([held[0][1], result([ids])], ["key", last])
+
+        for b in batches:
+            rows, ks, ids, ends = (b.column(i).to_pylist() for i in (0, 2, 3, 4))
+            for i in range(b.num_rows):
+                here = (rows[i], ks[i] // fan if block else 0)
+                if here != at and held:
+                    yield done()
+                    held = []
+                at = here
+                held.append((ks[i], b.column(1).slice(i, 1), ids[i], ends[i]))
+        if held:
+            yield done()
 
     done = spread(rows.where(~is_long), "key", 5_000, row_count(df)).mapInArrow(short, schema)
     # A number of its own keeps rows with equal ids apart; what is shuffled is the leaves, by their own place.
     parts = rows.where(is_long).select(F.monotonically_increasing_id().alias("row"), "key", "t").mapInArrow(cut, f"row bigint, key {kind}, k bigint, part string")
     nodes = parts.repartition("row", "k").mapInArrow(encode, node)
-    blocks = nodes.groupBy("row", F.floor(F.col("k") / fan).alias("block")).applyInArrow(join, node)
-    out = done.unionByName(blocks.groupBy("row").applyInArrow(finish, schema))
+    blocks = nodes.repartition("row", F.floor(F.col("k") / fan)).sortWithinPartitions("row", "k").mapInArrow(lambda b: join(b, True), node)
+    texts = blocks.repartition("row").sortWithinPartitions("row", "k").mapInArrow(lambda b: join(b, False), schema)
+    out = done.unionByName(texts)
     return out.select(F.col("key.id").alias(id_col), *[F.col(f"key.x{i}").alias(c) for i, c in enumerate(extra)], F.col("n").alias("n_tokens") if counts_only else F.col("ids"))
 
 
