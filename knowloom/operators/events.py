@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from knowloom.functions.text import content_hash
 from knowloom.functions.versions import is_stale_by_version, safe_timestamp
 from knowloom.operators.prefix import running
+from knowloom.session import materialize
 
 KINDS = ("created", "modified", "deleted")
 
@@ -83,38 +84,66 @@ def replay_gate(events: DataFrame, order: str = "seq", marks: DataFrame | None =
 
     The order has to be unique, of any type that sorts; see numbered.
     marks (file_path, last_ts, last_version; see watermarks) is where files stand before these events.
-    outcome: applied, duplicate (a later event with an id that was there), stale_version, stale_timestamp or unsupported.
+    outcome: applied, duplicate (an event with the id was applied before, in whatever file), stale_version, stale_timestamp or
+    unsupported. An id counts only once it was applied, so an event that was skipped may come again. Null ids never repeat.
     A file's events run through one task in order, as the gate's state depends on each of them, but as a stream: the task
-    holds one batch and the state of one file. Pure histories have gates without that order (version_gate, timestamp_gate).
+    holds one batch, the state of one file, and ids that were applied and come again later in it. Pure histories have gates
+    without that order (version_gate, timestamp_gate).
     """
-    kept = first_arrivals(events, order)
-    dup = events.join(kept.select(order), order, "left_anti").select(order, "file_path", "event_id", F.lit("duplicate").alias("outcome"), F.lit(None).cast("bigint").alias("assigned"))
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    cols = kept.select(F.col(order).alias("seq"), "file_path", "event_id", "change_type", "version", seconds("event_ts").alias("ts"))
+    cols = events.where("file_path is not null").select(F.col(order).alias("seq"), "file_path", "event_id", "change_type", "version", seconds("event_ts").alias("ts"))
+    # Ids are combined on the map side; only those that repeat are joined, so that a task forgets an id after its last event.
+    ids = cols.where("event_id is not null").groupBy("event_id").agg(F.min("seq").alias("a_"), F.max("seq").alias("z_"), (F.min("file_path") != F.max("file_path")).alias("across_")).where("a_ < z_")
+    cols = cols.join(ids, "event_id", "left").withColumns({"later": F.coalesce(F.col("seq") < F.col("z_"), F.lit(False)), "across": F.coalesce("across_", F.lit(False))})
     if marks is not None:
         cols = cols.join(marks.select("file_path", F.col("last_version").alias("v0"), seconds("last_ts").alias("t0")), "file_path", "left")
     else:
         cols = cols.withColumns({"v0": F.lit(None).cast("bigint"), "t0": F.lit(None).cast("double")})
-    cols = cols.select("seq", "file_path", "event_id", "change_type", "version", "ts", "v0", "t0")
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = materialize(cols.select("seq", "file_path", "event_id", "change_type", "version", "ts", "v0", "t0", "later", "across"), "gate")
+    rename = lambda x: x.withColumnRenamed("seq", order)
+    if cols.where("across").isEmpty():
+        return rename(_gate_files(cols.withColumn("elsewhere", F.lit(False)))).drop("across")
+    # Ids of several files: what a file applies depends on what others did before. Each round takes the first success of an id in
+    # the last round as given; the earliest event that is still wrong is put right in each, until nothing changes.
+    before = None
+    while True:
+        x = cols.withColumn("elsewhere", F.lit(False)) if before is None else cols.join(before, "event_id", "left").withColumn("elsewhere", F.coalesce((F.col("first_") < F.col("seq")) & (F.col("in_") != F.col("file_path")), F.lit(False))).drop("first_", "in_")
+        out = materialize(_gate_files(x), "outcomes")
+        won = out.where("across and outcome = 'applied'").groupBy("event_id").agg(F.min(F.struct("seq", "file_path")).alias("m")).select("event_id", F.col("m.seq").alias("first_"), F.col("m.file_path").alias("in_"))
+        if before is not None and won.exceptAll(before).isEmpty() and before.exceptAll(won).isEmpty():
+            return rename(out.drop("across"))
+        before = won
+
+
+def _gate_files(cols: DataFrame) -> DataFrame:
+    """The gate over each file; elsewhere: the event's id was applied in another file before."""
+    parts = int(cols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, gate = None, FileGate()
+        path, gate, applied = None, FileGate(), set()
         for b in batches:
             out = []
-            for s, p, e, k, v, t, v0, t0 in b.itertuples(index=False):
+            for s, p, e, k, v, t, v0, t0, later, across, elsewhere in b.itertuples(index=False):
                 if p != path:
-                    path, gate = p, FileGate()
+                    path, gate, applied = p, FileGate(), set()
                     gate.version = gate.ledger = None if pd.isna(v0) else int(v0)
                     gate.ts = None if pd.isna(t0) else t0
-                out.append((s, p, e, *gate.apply(k, None if pd.isna(v) else int(v), None if pd.isna(t) else t)))
-            x = pd.DataFrame(out, columns=["seq", "file_path", "event_id", "outcome", "assigned"])
+                if elsewhere or e in applied:
+                    done = ("duplicate", None)
+                else:
+                    done = gate.apply(k, None if pd.isna(v) else int(v), None if pd.isna(t) else t)
+                if not later:
+                    applied.discard(e)
+                elif done[0] == "applied":
+                    applied.add(e)
+                out.append((s, p, e, *done, across))
+            x = pd.DataFrame(out, columns=["seq", "file_path", "event_id", "outcome", "assigned", "across"])
             x["assigned"] = x["assigned"].astype("Int64")
             yield x
 
-    kind = events.schema[order].dataType.simpleString()
-    run = cols.where("file_path is not null").repartition(parts, "file_path").sortWithinPartitions("file_path", "seq").mapInPandas(work, f"seq {kind}, file_path string, event_id string, outcome string, assigned bigint")
-    return run.withColumnRenamed("seq", order).unionByName(dup)
+    kind = cols.schema["seq"].dataType.simpleString()
+    x = cols.select("seq", "file_path", "event_id", "change_type", "version", "ts", "v0", "t0", "later", "across", "elsewhere")
+    return x.repartition(parts, "file_path").sortWithinPartitions("file_path", "seq").mapInPandas(work, f"seq {kind}, file_path string, event_id string, outcome string, assigned bigint, across boolean")
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

@@ -104,6 +104,25 @@ d as (select * from c where kind in ('created', 'modified', 'deleted'))"""
 FIRST = "f as (select * from (select *, row_number() over (partition by event_id order by seq) as r from d {where}) where event_id is null or r = 1)"
 BEFORE = "over (partition by file_path order by seq rows between unbounded preceding and 1 preceding)"
 
+
+def old(v: str) -> str:
+    """Whether the event's version is behind a version of the file."""
+    return f"coalesce(case when kind = 'deleted' then version < {v} else version <= {v} end, false)"
+
+
+GATE = f"""
+recursive c0 as (select 1), {FEED.strip()},
+o as materialized (select *, row_number() over (partition by file_path order by seq) as i from d),
+g as (
+  select distinct file_path, 0::bigint as i, null::bigint as seq, null::varchar as event_id, null::varchar as outcome, null::bigint as ver, null::bigint as led, null::timestamp as mark, []::varchar[] as ids from o
+  union all
+  select file_path, i, seq, event_id, outcome, case when outcome <> 'applied' then ver when version is not null then version else coalesce(ver + 1, case when kind = 'created' then 1 else 2 end) end,
+    case when outcome = 'applied' and version is not null then version else led end, case when outcome = 'applied' then ts else mark end, case when outcome = 'applied' and event_id is not null then list_append(ids, event_id) else ids end
+  from (select o.*, ver, led, mark, ids, case when coalesce(list_contains(ids, o.event_id), false) then 'duplicate' when {old('led')} or {old('ver')} then 'stale_version' when version is null and coalesce(ts < mark, false) then 'stale_timestamp' else 'applied' end as outcome
+    from g join o on o.file_path = g.file_path and o.i = g.i + 1)
+),
+r as (select seq, file_path, event_id, outcome, case when outcome = 'applied' then ver end as assigned from g where i > 0)"""
+
 TWO = f"""
 s as (select *, dense_rank() over (order by snapshot_no desc) as r from chunk_snapshots),
 o as (select chunk_id, max({sha16("coalesce(content, 'null')")}) as h, min(chunk_index) as ci from s where r = 2 group by 1),
@@ -168,6 +187,8 @@ select n_nationkey, case when (not v and not (g and fg)) or (not g and not (v an
     "version_gate": f"with {FEED}, {FIRST.format(where='where version is not null')}, x as (select *, max(version) {BEFORE} as last_version from f) select seq, file_path, version, last_version, case when last_version is null then false when kind = 'deleted' then version < last_version else version <= last_version end as stale from x",
     "timestamp_gate": f"with {FEED}, {FIRST.format(where='')}, x as (select *, max(ts) {BEFORE} as last_ts from f) select seq, file_path, ts, last_ts, coalesce(ts < last_ts, false) as stale from x",
     "version_assign": f"with {FEED}, {FIRST.format(where='')} select seq, file_path, row_number() over w - 1 + case when first_value(kind) over w = 'created' then 1 else 2 end as assigned from f window w as (partition by file_path order by seq)",
+    "replay_gate": f"with {GATE} select * from r",
+    "skip_reason_counts": f"with {GATE} select outcome, count(*) as n from r group by outcome",
     "chunk_diff": f"with {TWO} select chunk_id, change from d",
     "stale_chunks": f"with {TWO} select chunk_id, 0::bigint as phase, oi::bigint as chunk_index from d where change = 'removed' union all select chunk_id, 1, ni from d where change = 'changed'",
     "ledger_latest": "select event_id, arg_max(status, delivery_no) as status, max(delivery_no) as seq from event_messages where event_id is not null group by 1",

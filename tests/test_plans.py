@@ -91,7 +91,7 @@ def test_ask(spark, st):
 
 
 def test_stream_gate_equals_batch(spark, tmp_path):
-    rows = [{"event_id": f"e{i}", "file_path": f"f{i % 3}", "change_type": ["created", "modified", "deleted"][i % 3 if i < 5 else 1], **({"change_version": (i * 7) % 11} if i % 2 else {}), "timestamp": (i * 37) % 50 * 1000} for i in range(40)]
+    rows = [{"event_id": f"e{i % 3}-{i % 7 if i % 4 else i}", "file_path": f"f{i % 3}", "change_type": ["created", "modified", "deleted"][i % 3 if i < 5 else 1], **({"change_version": (i * 7) % 11} if i % 2 else {}), "timestamp": (i * 37) % 50 * 1000} for i in range(40)]
     for part in range(4):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps({**r, "seq": i}) for i, r in list(enumerate(rows))[part * 10 : part * 10 + 10]))
