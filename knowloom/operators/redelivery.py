@@ -3,7 +3,9 @@
 One Bloom filter per time bucket screens identifiers: one that no other bucket's filter holds is definitely new and is done.
 The rest are possible repeats and are verified exactly, against only those buckets of the stored identifiers whose filters
 matched. Filters are blocked: an identifier's bits all lie in one block of its bucket, so a block of all buckets and its
-identifiers fit into one task, and the number of blocks, not their size, grows with the data.
+identifiers fit into one task. A block of a bucket with few identifiers is a short list of bit positions, so filters grow with
+the identifiers, not with the largest bucket. To probe, the blocks of all buckets are turned into one row of bucket bits for each
+position: the rows of an identifier's positions, and-ed, are the buckets that may have it, all at once.
 """
 
 from __future__ import annotations
@@ -20,6 +22,11 @@ from knowloom.session import materialize
 
 #: Identifiers of one time bucket that a filter block is sized for, its bits for each, and the bits set for each.
 BLOCK_IDS, BITS_PER_ID, PROBES = 4096, 16, 6
+BITS = BLOCK_IDS * BITS_PER_ID  # positions fit into 16 bits
+#: Identifiers of all buckets that one task screens at a time, and those whose buckets it looks up at once.
+GROUP_IDS, AT_ONCE = 200_000, 8_192
+#: Time buckets of the storage that a plan names; if more are matched, all are read.
+MAX_NAMED = 1_000
 
 
 def identifiers(df: DataFrame, id_col: str, order: str, bucket: Column) -> DataFrame:
@@ -36,13 +43,23 @@ def _positions(h: np.ndarray) -> np.ndarray:
     """PROBES bit positions in a block for each 64-bit hash: double hashing on its two halves."""
     h = h.astype(np.uint64)
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return (a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(BLOCK_IDS * BITS_PER_ID)
+    return (a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(BITS)
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    bits = np.zeros(BLOCK_IDS * BITS_PER_ID, dtype=bool)
-    bits[_positions(pdf["h"].to_numpy()).ravel()] = True
-    return pd.DataFrame({"b": [pdf["b"].iloc[0]], "block": [pdf["block"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+    at = np.unique(_positions(pdf["h"].to_numpy()).ravel()).astype(np.uint16)
+    if at.nbytes >= BITS // 8:
+        bits = np.zeros(BITS, dtype=bool)
+        bits[at] = True
+        raw = np.packbits(bits).tobytes()
+    else:
+        raw = at.tobytes()
+    return pd.DataFrame({"b": [pdf["b"].iloc[0]], "block": [pdf["block"].iloc[0]], "bits": [raw]})
+
+
+def _set_bits(raw: bytes) -> np.ndarray:
+    """Positions of a stored block: a bitmap if it is as long as one, else the list."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))) if len(raw) == BITS // 8 else np.frombuffer(raw, np.uint16)
 
 
 def build_filters(firsts: DataFrame) -> DataFrame:
@@ -54,14 +71,30 @@ def _probe(ids: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     """The time buckets whose filters hold each identifier, its own left out; identifiers without any are not returned."""
     out = []
     if len(ids) and len(filters):
+        buckets, column = np.unique(filters["b"].to_numpy(), return_inverse=True)
+        rows = np.zeros((BITS, (len(buckets) + 7) // 8), np.uint8)
+        for j, raw in zip(column, filters["bits"]):
+            rows[_set_bits(raw), j >> 3] |= np.uint8(128 >> (j & 7))
         pos, own = _positions(ids["h"].to_numpy()), ids["b"].to_numpy()
-        for b, raw in zip(filters["b"], filters["bits"]):
-            hit = np.unpackbits(np.frombuffer(raw, dtype=np.uint8)).view(bool)[pos].all(axis=1) & (own != b)
-            if hit.any():
-                out.append(pd.DataFrame({"id": ids["id"][hit], "b": own[hit], "o": ids["o"][hit], "other": b}))
+        for s in range(0, len(ids), AT_ONCE):
+            p = pos[s : s + AT_ONCE]
+            hit = rows[p[:, 0]]
+            for k in range(1, PROBES):
+                hit &= rows[p[:, k]]
+            some = np.flatnonzero(hit.any(axis=1))
+            i, j = np.nonzero(np.unpackbits(hit[some], axis=1)[:, : len(buckets)])
+            at, other = some[i] + s, buckets[j]
+            keep = own[at] != other
+            x = ids.iloc[at[keep]]
+            out.append(pd.DataFrame({"id": x["id"].to_numpy(), "b": x["b"].to_numpy(), "o": x["o"].to_numpy(), "other": other[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"id": [], "b": [], "o": [], "other": []}).astype({"id": object, "b": "int64", "o": "int64", "other": "int64"})
 
 
+def blocks_for(total: int, largest: int) -> int:
+    """So many that a block has GROUP_IDS identifiers of all buckets at most, and BLOCK_IDS of the largest bucket."""
+    return max(1, math.ceil(total / GROUP_IDS), math.ceil(largest / BLOCK_IDS))
+
+
 def with_blocks(firsts: DataFrame, blocks: int) -> DataFrame:
     h = F.xxhash64("id")
     return firsts.withColumn("h", F.xxhash64(F.lit(11), F.col("id"))).withColumn("block", F.pmod(h, F.lit(blocks)))
@@ -75,9 +108,10 @@ def screen(firsts: DataFrame, filters: DataFrame) -> DataFrame:
 def repeats_in_storage(candidates: DataFrame, storage: DataFrame) -> DataFrame:
     """(o): the bucket-first deliveries whose identifier was delivered earlier in a matching bucket of the storage.
 
-    Only buckets that some candidate matched are read (their numbers are as many as there are time buckets).
+    Only buckets that some candidate matched are read, as long as a plan can name them.
     """
-    storage = storage.where(F.col("b").isin([r[0] for r in candidates.select("other").distinct().collect()]))
+    matched = [r[0] for r in candidates.select("other").distinct().limit(MAX_NAMED + 1).collect()]
+    storage = storage.where(F.col("b").isin(matched)) if len(matched) <= MAX_NAMED else storage
     c = candidates.alias("c").join(storage.select(F.col("b").alias("other"), "id", F.col("o").alias("so")).alias("s"), ["other", "id"])
     return c.where("so < o").select("o").distinct()
 
@@ -86,8 +120,8 @@ def first_deliveries(df: DataFrame, id_col: str, order: str, bucket: Column) ->
     """(o): for each identifier the smallest `order` of all its deliveries."""
     firsts = identifiers(df, id_col, order, bucket)
     stored = materialize(firsts, "ids", ["b"])  # the bucketed storage
-    largest = stored.groupBy("b").count().agg(F.max("count")).first()[0] or 0
-    x = with_blocks(stored, max(1, math.ceil(largest / BLOCK_IDS)))
+    total, largest = stored.groupBy("b").count().agg(F.sum("count"), F.max("count")).first()
+    x = with_blocks(stored, blocks_for(total or 0, largest or 0))
     late = repeats_in_storage(materialize(screen(x, build_filters(x)), "maybe"), stored)
     return stored.select("o").join(late, "o", "left_anti")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from knowloom.operators import feed, redelivery, snapshots
 from knowloom.queries import table
+from knowloom.session import materialize, row_count, scratch_path
 
 #: White space as Unicode has it, for RE2.
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -27,6 +28,20 @@ def p3_unique(spark, d):
     return redelivery.unique_deliveries(table(spark, d, "event_messages")).select("delivery_no", "event_id", "file_path", "status")
 
 
+def p3_batches(spark, d, batches: int = 6):
+    """The deliveries as they come, some batches at a time, each checked against the stored history: in the end p3_unique."""
+    x = table(spark, d, "event_messages")
+    last = x.agg(F.max("batch_no")).first()[0] or 0
+    step, root = last // batches + 1, scratch_path(spark, "deliveries")
+    blocks = redelivery.blocks_for(row_count(x), 0)
+    out = None
+    for k in range(batches):
+        b = x.where(F.floor(F.coalesce("batch_no", F.lit(0)) / step) == k)
+        new = materialize(redelivery.append_batch(spark, b, f"{root}/ids", f"{root}/filters", blocks).select("delivery_no", "event_id", "file_path", "status"), "newdeliveries")
+        out = new if out is None else out.unionByName(new)
+    return out
+
+
 def p4_found(spark, d):
     return feed.current_files(table(spark, d, "change_feed")).select("file_path", "effective_version")
 
@@ -36,7 +51,7 @@ def p4_current_hash(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_unique, p4_found, p4_current_hash)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_unique, p3_batches, p4_found, p4_current_hash)}
 
 
 P2 = """
@@ -68,6 +83,7 @@ def oracle_sql():
         "p2_counts": P2 + "select snapshot_no, change_kind, count(*)::bigint as n from ev join snaps on i = pos group by all",
         "p3_found": P3 + "select delivery_no from r where id is not null and rn > 1",
         "p3_unique": P3 + "select delivery_no, event_id, file_path, status from r where id is null or rn = 1",
+        "p3_batches": P3 + "select delivery_no, event_id, file_path, status from r where id is not null and rn = 1",
         "p4_found": P4 + "select file_path, v as effective_version from r where rn = 1 and kind <> 'deleted'",
         "p4_current_hash": P4 + "select file_path, v as effective_version, content_hash from r where rn = 1 and kind <> 'deleted'",
     }
