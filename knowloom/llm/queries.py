@@ -52,10 +52,25 @@ def p5_entities(spark, d):
     return names.entity_sizes(names.link_names(table(spark, d, "entity_records")))
 
 
+def p5_checks(spark, d):
+    """Rows of equal name and type, where the type says person or organisation, are one entity."""
+    x = table(spark, d, "entity_records").select("entity_id", "entity_name", "entity_type")
+    labels = names.PERSON_TYPES | names.ORG_TYPES
+    x = x.where(F.lower(F.trim("entity_type")).isin(*sorted(labels)) & F.col("entity_name").rlike(r"\p{L}{3}"))
+    x = x.join(names.link_names(table(spark, d, "entity_records")), "entity_id", "left")
+    return x.groupBy("entity_name", "entity_type").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("entities"), F.count("cluster").alias("linked"))
+
+
 def p6_ids(spark, d):
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def p6_checks(spark, d):
+    """The ids of every row decoded again."""
+    decode = tokens.decoder(spark)
+    return tokens.token_ids(table(spark, d, "documents")).select("doc_id", F.sha2(decode(F.col("ids")), 256).alias("text_hash"))
+
+
 def p6_counts(spark, d):
     return tokens.token_counts(table(spark, d, "documents"))
 
@@ -101,8 +116,14 @@ def p8_restored(spark, d):
     return encodings.find_garbled(table(spark, d, "documents"))
 
 
+def p8_lost(spark, d):
+    """Found rows that show at once that characters were lost."""
+    x = table(spark, d, "documents").where(F.contains(F.col("text"), F.lit(encodings.REPLACEMENT))).select("doc_id")
+    return x.join(p8_found(spark, d), "doc_id", "left_semi").distinct()
+
+
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p5_found, p5_entities, p6_ids, p6_counts, p7_mix, p7_shares, p7_checks, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p5_found, p5_entities, p5_checks, p6_ids, p6_counts, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_restored, p8_lost)}
 
 
 P7 = """with t as (select mix_name, source, max(target_share) as target_share, max(max_repeats) as max_repeats from mix_targets group by all),
@@ -111,10 +132,17 @@ select mix_name, source, round(case when usable then target_share / sum(case whe
   true as share_met, true as repeats_kept, true as no_use_twice, true as budget_used from u"""
 
 
+P5 = """select entity_name, entity_type, count(*) as n, 1::bigint as entities, count(*) as linked from entity_records
+where lower(trim(entity_type)) in ('person', 'people', 'per', '人物', '人', 'organization', 'organisation', 'org', 'company', '公司', '组织', '机构', 'firm') and regexp_matches(entity_name, '\\p{L}{3}') group by all"""
+
+
 def oracle_sql():
     return {
         "p1_found": "select distinct chunk_id from raw_chunks where length(content) > 512 and chunk_id is not null",
         "p1_checks": "select distinct coalesce(chunk_id, '') as chunk_id, length(content) as chars, sha256(content) as text_hash, true as within_limit, true as overlap_kept from raw_chunks where length(content) > 512",
         "p1_files": "select (sum(length(coalesce(text, ''))) + count(*))::bigint as chars, true as within_limit, true as overlap_kept from documents",
+        "p5_checks": P5,
+        "p6_checks": "select doc_id, sha256(coalesce(text, '')) as text_hash from documents",
         "p7_checks": P7,
+        "p8_lost": "select distinct doc_id from documents where contains(text, chr(65533))",
     }

@@ -21,6 +21,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
@@ -226,3 +227,15 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """(<id>, <extra columns>, n_tokens) of every row."""
     return token_ids(df, id_col, text_col, counts_only=True, **kw)
+
+
+def decoder(spark: SparkSession, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS):
+    """A function on columns of ids, to their text; a null list stays null."""
+    ship(spark, tokenizer, folder)
+
+    @F.pandas_udf("string")
+    def decode(ids: pd.Series) -> pd.Series:
+        enc = encoding(tokenizer, folder)
+        return ids.map(lambda x: None if x is None else enc.decode_bytes([int(i) for i in x]).decode("utf-8", "replace"))
+
+    return decode
