@@ -48,13 +48,14 @@ def compose_tree(patches: DataFrame, chunk: Column | None = None, fan_in: int =
     """Compose to one patch per key in a tree over range chunks.
 
     chunk numbers the change's range (for example arrival // 10,000). Each level shuffles by (key, chunk), so the changes of
-    a hot key are spread over as many tasks as it has chunks; every level divides the number of chunks by fan_in.
+    a hot key are spread over as many tasks as it has chunks; every level divides the number of chunks by fan_in, and
+    the last shuffle, by the key alone, has what is left.
     """
     if chunk is None:
         return compose(patches, ["k"])
     x = patches.withColumn("c", chunk)
-    for _ in range(levels - 1):
-        x = compose(x, ["k", "c"]).withColumn("c", F.floor(F.col("c") / fan_in))
+    for level in range(levels):
+        x = compose(x if level == 0 else x.withColumn("c", F.floor(F.col("c") / fan_in)), ["k", "c"])
     return compose(x.drop("c"), ["k"])
 
 
@@ -90,13 +91,18 @@ def file_changes(df: DataFrame) -> DataFrame:
     )
 
 
-def current_files(df: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
+def file_patches(df: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
+    """One patch per file of a feed: what it does to the file as a whole. Patches of parts of a feed compose to that of the feed."""
+    ch = file_changes(df)
+    p = change_patches(ch, "file_path", [F.col("version"), F.col("kind") == "deleted", F.col("feed_no")], F.col("kind"), {"content_hash": F.col("content_hash")})
+    return compose_tree(p, F.floor(F.col("top.o.o2") / chunk_rows))
+
+
+def current_files(df: DataFrame, chunk_rows: int = 10_000, base: DataFrame | None = None) -> DataFrame:
     """(file_path, effective_version, content_hash) of the files that exist after the feed.
 
     The highest version holds whichever arrived last; under equal versions a delete holds, and among equal others the one
-    that arrived last gives the content_hash. Repeats change nothing. An empty feed gives no files.
+    that arrived last gives the content_hash. Repeats change nothing. An empty feed gives no files. base (file_path, content_hash)
+    has the files before the feed; those that it doesn't name stay, without a version.
     """
-    ch = file_changes(df)
-    p = change_patches(ch, "file_path", [F.col("version"), F.col("kind") == "deleted", F.col("feed_no")], F.col("kind"), {"content_hash": F.col("content_hash")})
-    one = compose_tree(p, F.floor(F.col("top.o.o2") / chunk_rows))
-    return apply_patches(one, "file_path", ["content_hash"]).select("file_path", F.col("order.o0").alias("effective_version"), "content_hash")
+    return apply_patches(file_patches(df, chunk_rows), "file_path", ["content_hash"], base).select("file_path", F.col("order.o0").alias("effective_version"), "content_hash")

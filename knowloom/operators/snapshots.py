@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Snapshot numbers kept in a plan literal; beyond it they are joined as a table.
-MAX_LITERAL_SNAPSHOTS = 20_000
+#: Snapshot numbers kept in a plan literal, which is searched for every row; beyond it they are joined as a table.
+MAX_LITERAL_SNAPSHOTS = 36
 
 
 def _hashes(c) -> list:

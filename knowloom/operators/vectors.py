@@ -106,7 +106,7 @@ def probes_needed(centres: np.ndarray, sample: np.ndarray, k: int, recall: float
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
 
 
-def ann_topk(vectors: DataFrame, queries: DataFrame, vid: str, qid: str, vec: str = "embedding", k: int = TOP_K, lists: int | None = None, recall: float = 0.95, salt_rows: int = 20_000) -> DataFrame:
+def ann_topk(vectors: DataFrame, queries: DataFrame, vid: str, qid: str, vec: str = "embedding", k: int = TOP_K, lists: int | None = None, recall: float = 0.95, salt_rows: int = 20_000, skip_self: bool = True) -> DataFrame:
     """As exact_topk, over an index of inverted lists: every vector is in one list, a query visits the nearest lists.
 
     All vectors are indexed; only the lists' centres are fitted on a sample. Lists are cut into salts of about salt_rows
@@ -133,7 +133,7 @@ def ann_topk(vectors: DataFrame, queries: DataFrame, vid: str, qid: str, vec: st
     q = queries.where(F.col(vec).isNotNull()).select(F.col(qid).cast("bigint").alias("query_id"), F.col(vec).alias("q"), F.explode(nearest(F.col(vec), F.lit(probe))).alias("list"))
     q = q.join(F.broadcast(salts), "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
-    got = v.groupBy("list", "salt").cogroup(q.groupBy("list", "salt")).applyInPandas(lambda a, b: _score(a, b, k), "query_id bigint, vec_id bigint, score double")
+    got = v.groupBy("list", "salt").cogroup(q.groupBy("list", "salt")).applyInPandas(lambda a, b: _score(a, b, k, skip_self), "query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

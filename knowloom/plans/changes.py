@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowloom.functions.parsing import parse_events
@@ -18,6 +19,9 @@ from knowloom.sources.events import dead_letter
 from knowloom.sources.stores import Log
 from knowloom.streaming.gate import run_to_end
 
+#: Fixed value: seconds between two attempts to apply a batch of events.
+REDELIVERY_S = 1.0
+
 
 def gate_batch(raw: DataFrame, dead: str | None = None) -> DataFrame:
     """(row, seq, file_path, event_id, change_type, outcome, assigned) of raw events (payload, seq); poison goes to `dead`.
@@ -37,7 +41,8 @@ def process_batch(raw: DataFrame, contents: Callable[[DataFrame], DataFrame], st
 
     Poison is dead-lettered. Events that succeeded before are skipped, the others go through the gate from where the ledger
     has their files. Every event leaves its transitions in the ledger; files advance only with SUCCEEDED ones, so a failed
-    batch can be replayed: see replay. Applying the same batch twice changes nothing the second time.
+    batch can be replayed: see replay; its payloads go to the dead letters as well, once all attempts are used up. Applying the
+    same batch twice changes nothing the second time. Returns the number of events by outcome and the counters of apply_changes.
     """
     good, bad = split_poison(parse_events(raw))
     if dead:
@@ -54,10 +59,14 @@ def process_batch(raw: DataFrame, contents: Callable[[DataFrame], DataFrame], st
     mark(applied, "PROCESSING", 1)
     counts = {r["outcome"]: r["count"] for r in out.groupBy("outcome").count().collect()}
     try:
-        Run(["CHANGES", "COMPLETED"]).step("apply", lambda: apply_changes(last_changes(out), contents, stores, extract, embed, batch * 4), attempts)
+        done = Run(["CHANGES", "COMPLETED"]).step("apply", lambda: apply_changes(last_changes(out), contents, stores, extract, embed, batch * 4), attempts, REDELIVERY_S)
         mark(applied, "SUCCEEDED", 2)
+        counts |= done or {}
     except Exception as e:  # noqa: BLE001
-        mark(applied, "FAILED", 2, f"{type(e).__name__}: {e}"[:500])
+        why = f"{type(e).__name__}: {e}"[:500]
+        mark(applied, "FAILED", 2, why)
+        if dead:
+            dead_letter(applied.select("payload", F.lit(f"attempts exhausted: {why}").alias("reason")), dead)
         counts["failed"] = counts.pop("applied", 0)
     return counts
 
@@ -88,14 +97,18 @@ def apply_changes(changes: DataFrame, contents: Callable[[DataFrame], DataFrame]
     """Bring vectors, graph and snapshots of the changed files (file_path, change_type, version) up to date.
 
     contents gives (path, text) of files. Of a modified document only chunks whose content changed are embedded and extracted
-    again; chunks that are gone or changed are taken out first. A document without chunks loses its snapshot.
-    Failing leaves the event unapplied, as its state is only stored after this returns.
+    again; chunks that are gone or changed are taken out first. A document without chunks loses its snapshot. What a document was
+    is told by its snapshot, or where that is gone by its vectors. Failing leaves the event unapplied, as its state is only
+    stored after this returns. Returns counters: files, chunks changed, removed and unchanged, vectors and relations, seconds.
     """
+    began = time.monotonic()
     ch = materialize(changes.withColumn("doc_id", doc_identity(F.col("file_path"))), "changes")
     gone, live = ch.where("change_type = 'deleted'"), ch.where("change_type <> 'deleted'")
     docs = contents(live.select("file_path")).select(doc_identity(F.col("path")).alias("doc_id"), "path", "text")
     new = materialize(chunk_documents(docs), "newchunks")
-    old = materialize(stores.snapshots.of(live).join(live.select("doc_id"), "doc_id", "left_semi").select(*new.columns), "oldchunks")
+    kept = stores.snapshots.of(live).join(live.select("doc_id"), "doc_id", "left_semi").select(*new.columns)
+    lost = live.select("doc_id").join(kept.select("doc_id").distinct(), "doc_id", "left_anti")
+    old = materialize(kept.unionByName(stores.vectors.current().join(lost, "doc_id", "left_semi").select(*new.columns)), "oldchunks")
     diff = materialize(chunk_diff(old, new), "diff")
     stale = diff.where("change = 'removed'").join(old, "chunk_id").unionByName(diff.where("change = 'changed'").join(old, "chunk_id", "inner")).select(F.col("metadata.source").alias("source"), "chunk_id")
     fresh = materialize(new.join(diff.where("change = 'changed'"), "chunk_id", "left_semi"), "fresh")
@@ -103,15 +116,14 @@ def apply_changes(changes: DataFrame, contents: Callable[[DataFrame], DataFrame]
     stores.graph.delete_chunks(stale)
     stores.vectors.append(fresh.withColumn("embedding", embed(F.col("content"))), seq + 1)
     ents, edges = knowledge(fresh, extract, live.select(F.col("file_path").alias("source"), "version"))
-    stores.graph.upsert(materialize(ents, "entities"), materialize(edges, "edges"))
-    vec = stores.vectors.current().join(gone.select("doc_id"), "doc_id", "left_semi")
+    edges = materialize(edges, "edges")
+    stores.graph.upsert(materialize(ents, "entities"), edges)
+    vec = materialize(stores.vectors.current().join(gone.select("doc_id"), "doc_id", "left_semi").select("chunk_id"), "gonevectors")
     stores.vectors.delete(vec, seq + 1)
     stores.graph.delete_sources(gone.select(F.col("file_path").alias("source")))
     stores.snapshots.save(new, ch.select("doc_id"))
     n = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
-    return {"files": ch.count(), "deleted_files": gone.count(), "changed": n.get("changed", 0), "removed": n.get("removed", 0), "unchanged": n.get("unchanged", 0)}
-
-
-def arrival_order(df: DataFrame, *cols: str) -> DataFrame:
-    """seq by the given unique order columns, for batches that have none. The order is global; use it on batches only."""
-    return df.withColumn("seq", F.row_number().over(Window.orderBy(*cols)).cast("bigint"))
+    return {
+        "files": ch.count(), "deleted_files": gone.count(), "changed": n.get("changed", 0), "removed": n.get("removed", 0), "unchanged": n.get("unchanged", 0),
+        "vectors_added": fresh.count(), "vectors_deleted": stale.count() + vec.count(), "graph_added": edges.count(), "seconds": time.monotonic() - began,
+    }

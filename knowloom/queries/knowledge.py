@@ -60,6 +60,15 @@ def ann_topk(s, d):
     return vectors.ann_topk(e, e.where("vec_id % 50 = 0"), "vec_id", "vec_id")
 
 
+def ann_recall(s, d):
+    """How the index does against brute force: the number of queries, and whether 0.9 of their true neighbours are met."""
+    e = table(s, d, "embeddings")
+    q = e.where("vec_id % 50 = 0")
+    true = vectors.exact_topk(e, q, "vec_id", "vec_id").select("query_id", "vec_id")
+    met = true.join(vectors.ann_topk(e, q, "vec_id", "vec_id").select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return met.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") / F.count("*") >= 0.9).alias("recall_kept"))
+
+
 def vector_upsert_latest(s, d):
     x = table(s, d, "chunk_snapshots").withColumn("hash", T.content_hash(F.col("content")))
     return vectors.upsert_latest(x, "chunk_id", ["snapshot_no"], ["snapshot_no", "doc_id", "hash"])
@@ -116,6 +125,15 @@ def extract_parse_defaults(s, d):
     return _mentions(s, d).select("entity_id", "source_chunk_id", "name", "type", "description")
 
 
+def extract_relations(s, d):
+    """Relations of a model's responses: missing names, types and confidences get their defaults; a confidence may be text."""
+    x = table(s, d, "entity_records")
+    i = F.col("entity_id")
+    r = F.struct(F.col("entity_name").alias("head"), F.when(i % 5 != 0, F.col("entity_type")).alias("relation"), F.col("description").alias("tail"), F.when(i % 4 == 1, (i % 10 / 10).cast("string")).when(i % 4 == 2, F.lit("high")).alias("confidence"))
+    raw = x.select("entity_id", "source_chunk_id", F.to_json(F.struct(F.array(r).alias("relations"))).alias("raw"))
+    return extraction.unnest(raw, "source_chunk_id", "raw", ["entity_id"])[1].select("entity_id", "head", "relation", "tail", F.round("confidence", 6).alias("confidence"))
+
+
 def extract_dedup_first(s, d):
     m = _mentions(s, d)
     return extraction.first_wins(m, ["name", "type"], [F.col("source_chunk_id"), F.col("entity_id")], ["entity_id", "source_chunk_id", "name", "type"])
@@ -162,6 +180,13 @@ def edge_merge(s, d):
     return graph.merge_edges(_supplies(s, d), _known(s, d), ["confidence", "seq"])
 
 
+def strict_edges(s, d):
+    """Edges whose two ends were there before: suppliers and parts come one by one, in the order of their keys."""
+    seen = table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_key"), (F.col("s_suppkey") * 97).alias("first_seq"))
+    seen = seen.unionByName(table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), (F.col("p_partkey") * 31).cast(BIG)).toDF("entity_key", "first_seq"))
+    return graph.strict_edges(_supplies(s, d), seen).select("head_key", "rel_type", "tail_key", "seq")
+
+
 def _places(s, d):
     """Regions, nations, suppliers and customers as a graph."""
     r, n, u, c = (table(s, d, t) for t in ("region", "nation", "supplier", "customer"))
@@ -419,8 +444,8 @@ def queries():
     return {
         f.__name__: f
         for f in (
-            doc_identity, content_hashes, chunk_documents, chunk_stats_by_lang, vector_topk, vector_similarity, ann_topk, vector_upsert_latest, vector_delete_anti, vector_deleted_counts,
-            chunks_by_doc, vector_stats, extract_parse_defaults, extract_dedup_first, extract_resolve_source, entity_keys, entity_merge, edge_merge, graph_delete_source, graph_delete_chunks,
+            doc_identity, content_hashes, chunk_documents, chunk_stats_by_lang, vector_topk, vector_similarity, ann_topk, ann_recall, vector_upsert_latest, vector_delete_anti, vector_deleted_counts,
+            chunks_by_doc, vector_stats, extract_parse_defaults, extract_relations, extract_dedup_first, extract_resolve_source, entity_keys, entity_merge, edge_merge, strict_edges, graph_delete_source, graph_delete_chunks,
             graph_stats, graph_neighbors_2hop, graph_contexts, question_keywords, question_mode, entity_search, memory_window, memory_dedup, memory_context, hybrid_rerank, qa_confidence,
             source_conflict, qa_degrade_matrix, qa_reasoning, qa_prompt, event_parse, dead_letters, event_dedup, version_gate, timestamp_gate, version_assign, replay_gate, skip_reason_counts,
             chunk_diff, stale_chunks, ledger_latest, ledger_watermarks, unprocessed_events, replayable_events, ledger_retention, workflow_transitions, retry_attempts, ingest_summary,

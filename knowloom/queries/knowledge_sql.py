@@ -136,12 +136,15 @@ SQL = {
     "chunk_stats_by_lang": f"with {CHUNKS} select lang, count(distinct doc_id) as docs, count(*) as chunks, sum(length(content))::bigint as chars, count(distinct content) as contents from c group by lang",
     "vector_topk": f"with {TOPK} select query_id, vec_id, score, rank from k",
     "vector_similarity": f"select a.vec_id, round({cosine('a.embedding', 'b.embedding')}, 6) as score from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
+    "ann_recall": "select count(*) as queries, true as recall_kept from embeddings where vec_id % 50 = 0",
     "vector_upsert_latest": f"select chunk_id, max(snapshot_no) as snapshot_no, arg_max(doc_id, snapshot_no) as doc_id, arg_max({sha16("coalesce(content, 'null')")}, snapshot_no) as hash from chunk_snapshots where chunk_id is not null group by chunk_id",
     "vector_delete_anti": f"with {STORE}, {GONE} select chunk_id, doc_id from v where not exists (select 1 from g where g.source = v.source)",
     "vector_deleted_counts": f"with {STORE}, {GONE} select doc_id, count(*) as deleted from v join g using (source) group by doc_id",
     "chunks_by_doc": f"with {STORE} select chunk_id, chunk_index::bigint as chunk_index, content from v where doc_id = '98febe5ac021aa35'",
     "vector_stats": f"with {STORE} select count(*) as vectors, count(distinct doc_id) as docs, count(*) filter (where e > 0) as embedded from v",
     "extract_parse_defaults": f"with {MENTIONS} select * from m",
+    "extract_relations": """select entity_id, coalesce(entity_name, '') as head, coalesce(case when entity_id % 5 <> 0 then entity_type end, 'related_to') as relation, coalesce(description, '') as tail,
+  case when entity_id % 4 = 1 then round((entity_id % 10) / 10.0::double, 6) else 0.5::double end as confidence from entity_records""",
     "extract_dedup_first": f"with {MENTIONS} select entity_id, source_chunk_id, name, type from m qualify row_number() over (partition by name, type order by source_chunk_id nulls first, entity_id) = 1",
     "extract_resolve_source": f"with {SOURCES} select entity_id, coalesce(s, '/unknown') as source from entity_records left join src on source_chunk_id = chunk_id",
     "entity_keys": f"with {LOG} select entity_id, entity_key, regexp_replace({key('entity_name')}, '^_+|_+$', '', 'g') as plain_key from l",
@@ -149,6 +152,8 @@ SQL = {
     "edge_merge": """with l as (select 's' || l_suppkey as head_key, case when l_returnflag = 'R' then 'TOOK_BACK' else 'SUPPLIES_TO' end as rel_type, 'p' || l_partkey as tail_key, l_discount as confidence, l_orderkey * 10 + l_linenumber as seq from lineitem),
 k as (select 's' || s_suppkey as k from supplier union all select 'p' || p_partkey from part where p_size > 10)
 select head_key, rel_type, tail_key, max({'s': seq, 'c': confidence}).c as confidence, max(seq)::bigint as seq from l where head_key in (select k from k) and tail_key in (select k from k) group by all""",
+    "strict_edges": """select 's' || l_suppkey as head_key, case when l_returnflag = 'R' then 'TOOK_BACK' else 'SUPPLIES_TO' end as rel_type, 'p' || l_partkey as tail_key, l_orderkey * 10 + l_linenumber as seq
+from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey where s_suppkey * 97 <= l_orderkey * 10 + l_linenumber and p_partkey * 31 <= l_orderkey * 10 + l_linenumber""",
     "graph_delete_source": f"with {PLACES} select 'entity' as what, k as id from n where src <> 'nation' union all select 'edge', a || '-' || b from e where src <> 'nation' and a not like 'n%' and b not like 'n%'",
     "graph_delete_chunks": f"with {PLACES}, g as (select k from n where src = 'supplier' and i % 3 in (1, 2)) select 'entity' as what, k as id from n where k not in (select k from g) union all select 'edge', a || '-' || b from e where not (src = 'supplier' and i % 3 in (1, 2)) and a not in (select k from g) and b not in (select k from g)",
     "graph_stats": f"with {PLACES} select (select count(*) from n) as entities, (select count(*) from e) as relations",

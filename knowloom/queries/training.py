@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from knowloom.functions.text import strip_ws
 from knowloom.operators import feed, redelivery, snapshots
 from knowloom.queries import table
 from knowloom.session import materialize, row_count, scratch_path
@@ -50,8 +51,24 @@ def p4_current_hash(spark, d):
     return feed.current_files(table(spark, d, "change_feed"))
 
 
+def p4_halves(spark, d):
+    """The feed in two halves by arrival, each made into patches, which are composed: in the end p4_current_hash."""
+    x = table(spark, d, "change_feed")
+    half = (x.agg(F.max("feed_no")).first()[0] or 0) // 2
+    parts = [materialize(feed.file_patches(x.where(c)), "patches") for c in (F.col("feed_no") <= half, F.col("feed_no") > half)]
+    one = feed.compose(parts[0].unionByName(parts[1]), ["k"])
+    return feed.apply_patches(one, "file_path", ["content_hash"]).select("file_path", F.col("order.o0").alias("effective_version"), "content_hash")
+
+
+def p4_on_base(spark, d):
+    """The feed applied to the files of the documents, which have no version before."""
+    docs = table(spark, d, "documents").where(strip_ws(F.col("file_path")) != "")
+    base = docs.select("file_path").distinct().withColumn("content_hash", F.lit("base"))
+    return feed.current_files(table(spark, d, "change_feed"), base=base)
+
+
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_unique, p3_batches, p4_found, p4_current_hash)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_unique, p3_batches, p4_found, p4_current_hash, p4_halves, p4_on_base)}
 
 
 P2 = """
@@ -85,5 +102,8 @@ def oracle_sql():
         "p3_unique": P3 + "select delivery_no, event_id, file_path, status from r where id is null or rn = 1",
         "p3_batches": P3 + "select delivery_no, event_id, file_path, status from r where id is not null and rn = 1",
         "p4_found": P4 + "select file_path, v as effective_version from r where rn = 1 and kind <> 'deleted'",
+        "p4_halves": P4 + "select file_path, v as effective_version, content_hash from r where rn = 1 and kind <> 'deleted'",
+        "p4_on_base": P4 + f"""select file_path, v as effective_version, content_hash from r where rn = 1 and kind <> 'deleted'
+          union all select distinct file_path, null, 'base' from documents d where regexp_replace(file_path, '^{WS}+|{WS}+$', '', 'g') <> '' and not exists (select 1 from r where r.file_path = d.file_path)""",
         "p4_current_hash": P4 + "select file_path, v as effective_version, content_hash from r where rn = 1 and kind <> 'deleted'",
     }

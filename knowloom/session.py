@@ -56,11 +56,13 @@ def ship(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset (tests, single machine) a temporary folder of this process is used instead.
+    Only where that is unset on a single machine (local masters, as in tests) a temporary folder of this process is used instead.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH["dir"] = tempfile.mkdtemp(prefix="knowloom-")
         atexit.register(shutil.rmtree, _LOCAL_SCRATCH["dir"], True)

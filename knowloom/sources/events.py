@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 
 
 def stream_from_kafka(spark: SparkSession, servers: str, topic: str = "doc-changes", per_trigger: int = 100_000) -> DataFrame:
-    """(payload) of the topic, from the latest offsets on. Needs Spark's Kafka package on the class path."""
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "latest").option("maxOffsetsPerTrigger", per_trigger).load().select(F.col("value").cast("string").alias("payload"))
+    """(payload, seq) of the topic, from the latest offsets on; see from_kafka. Needs Spark's Kafka package on the class path."""
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "latest", "maxOffsetsPerTrigger": per_trigger}
+    return from_kafka(spark.readStream.format("kafka").options(**options).load())
+
+
+def from_kafka(records: DataFrame) -> DataFrame:
+    """(payload, seq) of Kafka records: seq is the record's partition and offset, a text that sorts as these and that no other has.
+
+    A file's events are in the order of their offsets if the producer keys them by the file's path; across partitions there is none.
+    """
+    place = F.concat(F.lpad(F.col("partition").cast("string"), 10, "0"), F.lit(" "), F.lpad(F.col("offset").cast("string"), 20, "0"))
+    return records.select(F.col("value").cast("string").alias("payload"), place.alias("seq"))
 
 
 def stream_from_files(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:

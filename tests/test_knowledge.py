@@ -276,3 +276,13 @@ def test_ann_recall(spark):
     exact = {tuple(r) for r in vectors.exact_topk(e, q, "vec_id", "vec_id").select("query_id", "vec_id").collect()}
     found = {tuple(r) for r in vectors.ann_topk(e, q, "vec_id", "vec_id").select("query_id", "vec_id").collect()}
     assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_chunks_of_a_long_text_take_time_in_proportion(spark):
+    """Windows across stretches, with characters beyond the basic plane."""
+    from knowloom.operators.chunking import sliding_chunks
+
+    t = "".join(random.Random(1).choice("ab é中🚀\n") for _ in range(30_000))
+    got = sliding_chunks(spark.createDataFrame([(1, t)], "doc_id int, text string"), "doc_id", "text").orderBy("chunk_index").collect()
+    assert [r["content"] for r in got] == [t[s : s + 512].strip(" \n") for s in range(0, 448 * -(-(len(t) - 512) // 448) + 1, 448)]
+    assert got[-1]["char_end"] == len(t)

@@ -242,3 +242,79 @@ def test_scratch_follows_the_session():
     session = lambda value: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: value if key == "spark.checkpoint.dir" else default))
     assert scratch_root(session("file:///shared/x/")) == "file:///shared/x"
     assert scratch_root(session(None)).startswith("file:///")
+
+
+def test_kafka_records_have_a_place_of_their_own(spark):
+    from knowloom.sources.events import from_kafka
+
+    r = from_kafka(spark.createDataFrame([(bytearray(b"a"), p, o) for p, o in ((0, 9), (0, 10), (1, 9), (12, 100))], "value binary, partition int, offset bigint"))
+    seqs = [x["seq"] for x in r.collect()]
+    assert len(set(seqs)) == 4 and seqs == sorted(seqs) and {x["payload"] for x in r.collect()} == {"a"}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: "spark://host:7077" if key == "spark.master" else default))
+    with pytest.raises(RuntimeError):
+        scratch_root(cluster)
+
+
+def test_modified_document_without_snapshot_is_compared_with_its_vectors(spark, st):
+    ingest.ingest(docs(spark, [("/d/a.md", "Alice knows Bob. " * 60)]), st, extractor(), embedder(dims=8), 1)
+    st.snapshots.delete(docs(spark, [("/d/a.md", "")]).select("doc_id"))
+    assert st.snapshots.read().count() == 0 and st.vectors.current().count() == 3
+    contents = lambda paths: paths.select(F.col("file_path").alias("path"), F.lit("Alice knows Frank.").alias("text"))
+    ch = spark.createDataFrame([("/d/a.md", "modified", 2)], "file_path string, change_type string, version bigint")
+    n = changes.apply_changes(ch, contents, st, extractor(), embedder(dims=8), 10)
+    assert (n["changed"], n["removed"], n["vectors_added"], n["vectors_deleted"]) == (1, 2, 1, 3) and n["graph_added"] >= 1 and n["seconds"] > 0
+    assert [r["content"] for r in st.vectors.current().collect()] == ["Alice knows Frank."]
+
+
+def test_exhausted_retries_are_dead_letters(spark, tmp_path, monkeypatch):
+    tries = []
+
+    def down(*a):
+        tries.append(1)
+        raise OSError("down")
+
+    monkeypatch.setattr(changes, "apply_changes", down)
+    monkeypatch.setattr(workflow.time, "sleep", lambda s: None)
+    one = spark.createDataFrame([(1, json.dumps({"event_id": "e", "file_path": "/a", "change_type": "created"}))], "seq bigint, payload string")
+    ledger = stores.event_ledger(spark, str(tmp_path / "ledger"))
+    assert changes.process_batch(one, None, None, ledger, None, None, 1, str(tmp_path / "dead")) == {"failed": 1} and len(tries) == 3
+    assert [r["reason"] for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == ["attempts exhausted: OSError: down"]
+    assert changes.replay(ledger).count() == 1
+
+
+def test_question_workflow(spark, st, tmp_path, monkeypatch):
+    monkeypatch.setattr(workflow.time, "sleep", lambda s: None)
+    ingest.ingest(docs(spark), st, extractor(), embedder(dims=32), 1)
+    q = spark.createDataFrame([(1, "s1", "Who knows Bob?"), (2, None, "Where is Emil?"), (3, " ", "And Dora?"), (4, "s1", " ")], "question_id bigint, session_id string, question string")
+    path, calls = str(tmp_path / "turns"), []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("down")
+        return stores.session_log(spark, path)
+
+    vec = lambda: st.vectors.current().select("chunk_id", "content", F.col("metadata.source").alias("source"), "embedding")
+    ents = lambda: (st.graph.entities.read(), st.graph.edges.read().withColumn("edge_id", F.concat_ws("-", "head_key", "rel_type", "tail_key")))
+    go = lambda load, n: ask.ask_workflow(q, vec(), *ents(), load, lambda t: stores.append_messages(t, path), embedder(dims=32), answerer(), n)
+    got, run = go(flaky, 1)
+    assert run.state == "COMPLETED" and run.retries()["memory-load"] == 2 and not run.degrade_reasons and got.count() == 3
+    steps = {r["question_id"]: list(r["reasoning_steps"]) for r in got.collect()}
+    assert steps[1][:2] == ["QUESTION_RECEIVED: question accepted", "MEMORY_LOADED: short-term memory loaded"] and steps[2][1] == "MEMORY_LOADED: no session id, skip memory loading"
+    assert "COMPLETED: workflow finished" in steps[1]
+    turns = stores.session_log(spark, path).orderBy("seq").collect()
+    assert [(r["session_id"], r["role"]) for r in turns] == [("s1", "user"), ("s1", "assistant")] and turns[0]["content"] == "Who knows Bob?"
+
+    def never():
+        raise OSError("down")
+
+    _, run = go(never, 2)
+    assert run.state == "COMPLETED" and run.degrade_reasons == ["MEMORY_UNAVAILABLE"]
+    before = stores.session_log(spark, path).count()
+    monkeypatch.setattr(ask, "ask", lambda *a: never())
+    with pytest.raises(OSError):
+        go(lambda: None, 3)
+    assert stores.session_log(spark, path).count() == before

@@ -137,3 +137,34 @@ def test_partial_patches_over_a_base_in_any_bracketing(spark):
 def test_snapshots_all_null_column(spark, col):
     df = spark.createDataFrame([(1, "a", "x", "k", 1, 1), (2, "a", "y", "k", 1, 1)], SNAP).withColumn(col, F.lit(None).cast("string"))
     assert snapshots.snapshot_changes(df).count() == 0
+
+
+def test_probing_all_buckets_at_once(spark):
+    """Blocks of lists and of bitmaps, more than eight buckets: every identifier finds every bucket that has it."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    h = {b: rng.integers(0, 2**62, 5_000 if b == 4 else 50) for b in range(20)}
+    for b in range(1, 20):
+        h[b][:5] = h[0][:5]
+    filters = pd.concat([redelivery._build(pd.DataFrame({"h": v, "b": b, "block": 0})) for b, v in h.items()])
+    assert {len(x) for x in filters["bits"]} > {8192} and min(len(x) for x in filters["bits"]) < 1_000
+    ids = pd.DataFrame({"id": [f"i{k}" for k in range(50)], "h": h[0], "b": 0, "o": range(50)})
+    got = redelivery._probe(ids, filters)
+    assert {(i, b) for i, b in zip(got["id"], got["other"])} >= {(f"i{k}", b) for k in range(5) for b in range(1, 20)} and len(got) < 120
+
+
+def test_many_snapshots_are_joined(spark, monkeypatch):
+    rows = [(s, "k", f"v{s // 3}", "c", 1, 1) for s in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, SNAP)
+    want = {tuple(r) for r in snapshots.snapshot_changes(df).collect()}
+    monkeypatch.setattr(snapshots, "MAX_LITERAL_SNAPSHOTS", 3)
+    assert {tuple(r) for r in snapshots.snapshot_changes(df).collect()} == want and len(want) > 10
+
+
+def test_feed_over_a_base(spark):
+    rows = [(1, "a", "modified", 3, None), (2, "b", "deleted", 2, None), (3, "d", None, 1, None)]
+    df = spark.createDataFrame([(*r, None, f"h{r[0]}", "x", "y") for r in rows], FEED)
+    base = spark.createDataFrame([("a", "b0", 1), ("b", "b0", 1), ("c", "b0", 1)], "file_path string, content_hash string, top int")
+    assert {tuple(r) for r in feed.current_files(df, base=base).collect()} == {("a", 3, "h1"), ("d", 1, "h3"), ("c", None, "b0")}
