@@ -150,18 +150,23 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(chunk_id, change): changed (new ids too), removed or unchanged, by content hash; null ids are left out, repeats count once."""
-    h = lambda df, c: df.where("chunk_id is not null").groupBy("chunk_id").agg(F.max(content_hash(F.col("content"))).alias(c))
-    x = h(old, "o").join(h(new, "n"), "chunk_id", "full_outer")
-    return x.select("chunk_id", F.when(F.col("n").isNull(), "removed").when(F.col("o").eqNullSafe(F.col("n")), "unchanged").otherwise("changed").alias("change"))
-
-
-def stale_chunks(diff: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """(chunk_id, phase, chunk_index): what must go: the removed (phase 0, old order), then the changed (phase 1, new order)."""
-    at = lambda df: df.groupBy("chunk_id").agg(F.min("chunk_index").alias("chunk_index"))
-    gone = diff.where("change = 'removed'").join(at(old), "chunk_id").select("chunk_id", F.lit(0).alias("phase"), "chunk_index")
-    changed = diff.where("change = 'changed'").join(at(new), "chunk_id").select("chunk_id", F.lit(1).alias("phase"), "chunk_index")
+def chunk_diff(old: DataFrame, new: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(<by>, chunk_id, change): changed (new ids too), removed or unchanged, by content hash; null ids are left out, repeats count once.
+
+    by: columns that tell several pairs of old and new apart, which are compared at once.
+    """
+    keys = [*(by or []), "chunk_id"]
+    h = lambda df, c: df.where("chunk_id is not null").groupBy(*keys).agg(F.max(content_hash(F.col("content"))).alias(c))
+    x = h(old, "o").join(h(new, "n"), keys, "full_outer")
+    return x.select(*keys, F.when(F.col("n").isNull(), "removed").when(F.col("o").eqNullSafe(F.col("n")), "unchanged").otherwise("changed").alias("change"))
+
+
+def stale_chunks(diff: DataFrame, old: DataFrame, new: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(<by>, chunk_id, phase, chunk_index): what must go: the removed (phase 0, old order), then the changed (phase 1, new order)."""
+    keys = [*(by or []), "chunk_id"]
+    at = lambda df: df.groupBy(*keys).agg(F.min("chunk_index").alias("chunk_index"))
+    gone = diff.where("change = 'removed'").join(at(old), keys).select(*keys, F.lit(0).alias("phase"), "chunk_index")
+    changed = diff.where("change = 'changed'").join(at(new), keys).select(*keys, F.lit(1).alias("phase"), "chunk_index")
     return gone.unionByName(changed)
 
 

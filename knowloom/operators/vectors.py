@@ -32,6 +32,12 @@ def chunks_of(vectors: DataFrame, doc_id: str) -> DataFrame:
     return vectors.where(F.col("doc_id") == doc_id).orderBy("chunk_index")
 
 
+def chunks_in_order(vectors: DataFrame) -> DataFrame:
+    """The chunks of all documents with their `position` (from 1) in the document, by index, then id; a document has a bounded number."""
+    w = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("chunk_index"), "chunk_id")
+    return vectors.where("doc_id is not null").withColumn("position", F.row_number().over(w))
+
+
 def cosine_matrix(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Cosine with single-precision products and double-precision sums, as the column expression has it."""
     n = min(q.shape[1], v.shape[1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from knowloom.functions import text as T
@@ -94,11 +95,9 @@ def vector_deleted_counts(s, d):
     return gone.groupBy("doc_id").agg(F.count("*").alias("deleted"))
 
 
-HOT_DOC = "98febe5ac021aa35"
-
-
 def chunks_by_doc(s, d):
-    return vectors.chunks_of(_chunks(s, d), HOT_DOC).select("chunk_id", F.col("chunk_index").cast(BIG), "content")
+    """The chunks of every document in their order."""
+    return vectors.chunks_in_order(_chunks(s, d)).select("doc_id", F.col("position").cast(BIG), "chunk_id", F.col("chunk_index").cast(BIG), "content")
 
 
 def vector_stats(s, d):
@@ -364,19 +363,22 @@ def skip_reason_counts(s, d):
     return ev.outcome_counts(ev.replay_gate(_feed(s, d)))
 
 
-def _two_snapshots(s, d):
-    x = table(s, d, "chunk_snapshots")
-    a, b = [r[0] for r in x.select("snapshot_no").distinct().orderBy(F.desc("snapshot_no")).limit(2).collect()][::-1]
-    return x.where(F.col("snapshot_no") == a), x.where(F.col("snapshot_no") == b)
+def _pairs(s, d):
+    """(old, new): all snapshots, each as the older and as the newer one of a pair, which has the newer one's number."""
+    x = table(s, d, "chunk_snapshots").select("snapshot_no", "chunk_id", "chunk_index", "content")
+    no = x.select("snapshot_no").distinct()
+    nxt = no.withColumn("pair", F.lead("snapshot_no").over(Window.orderBy("snapshot_no"))).where("pair is not null")  # a row per delivery
+    new = nxt.select(F.col("pair").alias("snapshot_no"), "pair")
+    return x.join(nxt, "snapshot_no").drop("snapshot_no"), x.join(new, "snapshot_no").drop("snapshot_no")
 
 
 def chunk_diff(s, d):
-    return ev.chunk_diff(*_two_snapshots(s, d))
+    return ev.chunk_diff(*_pairs(s, d), ["pair"])
 
 
 def stale_chunks(s, d):
-    old, new = _two_snapshots(s, d)
-    return ev.stale_chunks(ev.chunk_diff(old, new), old, new).select("chunk_id", F.col("phase").cast(BIG), F.col("chunk_index").cast(BIG))
+    old, new = _pairs(s, d)
+    return ev.stale_chunks(ev.chunk_diff(old, new, ["pair"]), old, new, ["pair"]).select("pair", "chunk_id", F.col("phase").cast(BIG), F.col("chunk_index").cast(BIG))
 
 
 def _ledger(s, d):

@@ -124,10 +124,11 @@ g as (
 r as (select seq, file_path, event_id, outcome, case when outcome = 'applied' then ver end as assigned from g where i > 0)"""
 
 TWO = f"""
-s as (select *, dense_rank() over (order by snapshot_no desc) as r from chunk_snapshots),
-o as (select chunk_id, max({sha16("coalesce(content, 'null')")}) as h, min(chunk_index) as ci from s where r = 2 group by 1),
-n as (select chunk_id, max({sha16("coalesce(content, 'null')")}) as h, min(chunk_index) as ci from s where r = 1 group by 1),
-d as (select coalesce(o.chunk_id, n.chunk_id) as chunk_id, case when n.chunk_id is null then 'removed' when o.h = n.h then 'unchanged' else 'changed' end as change, o.ci as oi, n.ci as ni from o full join n on o.chunk_id = n.chunk_id)"""
+p as (select snapshot_no as a, lead(snapshot_no) over (order by snapshot_no) as pair from (select distinct snapshot_no from chunk_snapshots)),
+h as (select snapshot_no, chunk_id, max({sha16("coalesce(content, 'null')")}) as h, min(chunk_index) as ci from chunk_snapshots where chunk_id is not null group by all),
+o as (select pair, chunk_id, h, ci from h join p on a = snapshot_no where pair is not null),
+n as (select snapshot_no as pair, chunk_id, h, ci from h where snapshot_no in (select pair from p)),
+d as (select coalesce(o.pair, n.pair) as pair, coalesce(o.chunk_id, n.chunk_id) as chunk_id, case when n.chunk_id is null then 'removed' when o.h = n.h then 'unchanged' else 'changed' end as change, o.ci as oi, n.ci as ni from o full join n on o.chunk_id = n.chunk_id and o.pair = n.pair)"""
 
 SQL = {
     "doc_identity": f"select doc_id, {sha16('file_path')} as path_id, case when file_path ilike '%.pdf' then 'pdf' when file_path ilike '%.png' or file_path ilike '%.jpg' or file_path ilike '%.jpeg' then 'image' when file_path ilike '%.csv' or file_path ilike '%.xlsx' then 'table' when file_path ilike '%.md' then 'markdown' else 'text' end as kind from documents",
@@ -140,7 +141,7 @@ SQL = {
     "vector_upsert_latest": f"select chunk_id, max(snapshot_no) as snapshot_no, arg_max(doc_id, snapshot_no) as doc_id, arg_max({sha16("coalesce(content, 'null')")}, snapshot_no) as hash from chunk_snapshots where chunk_id is not null group by chunk_id",
     "vector_delete_anti": f"with {STORE}, {GONE} select chunk_id, doc_id from v where not exists (select 1 from g where g.source = v.source)",
     "vector_deleted_counts": f"with {STORE}, {GONE} select doc_id, count(*) as deleted from v join g using (source) group by doc_id",
-    "chunks_by_doc": f"with {STORE} select chunk_id, chunk_index::bigint as chunk_index, content from v where doc_id = '98febe5ac021aa35'",
+    "chunks_by_doc": f"with {STORE} select doc_id, row_number() over (partition by doc_id order by chunk_index nulls first, chunk_id) as position, chunk_id, chunk_index::bigint as chunk_index, content from v where doc_id is not null",
     "vector_stats": f"with {STORE} select count(*) as vectors, count(distinct doc_id) as docs, count(*) filter (where e > 0) as embedded from v",
     "extract_parse_defaults": f"with {MENTIONS} select * from m",
     "extract_relations": """select entity_id, coalesce(entity_name, '') as head, coalesce(case when entity_id % 5 <> 0 then entity_type end, 'related_to') as relation, coalesce(description, '') as tail,
@@ -194,8 +195,8 @@ select n_nationkey, case when (not v and not (g and fg)) or (not g and not (v an
     "version_assign": f"with {FEED}, {FIRST.format(where='')} select seq, file_path, row_number() over w - 1 + case when first_value(kind) over w = 'created' then 1 else 2 end as assigned from f window w as (partition by file_path order by seq)",
     "replay_gate": f"with {GATE} select * from r",
     "skip_reason_counts": f"with {GATE} select outcome, count(*) as n from r group by outcome",
-    "chunk_diff": f"with {TWO} select chunk_id, change from d",
-    "stale_chunks": f"with {TWO} select chunk_id, 0::bigint as phase, oi::bigint as chunk_index from d where change = 'removed' union all select chunk_id, 1, ni from d where change = 'changed'",
+    "chunk_diff": f"with {TWO} select pair, chunk_id, change from d",
+    "stale_chunks": f"with {TWO} select pair, chunk_id, 0::bigint as phase, oi::bigint as chunk_index from d where change = 'removed' union all select pair, chunk_id, 1, ni from d where change = 'changed'",
     "ledger_latest": "select event_id, arg_max(status, delivery_no) as status, max(delivery_no) as seq from event_messages where event_id is not null group by 1",
     "ledger_watermarks": "select file_path, arg_max(event_ts, delivery_no) as last_ts, arg_max(event_version, delivery_no) filter (where event_version is not null) as last_version from event_messages where status = 'SUCCEEDED' and file_path is not null group by 1",
     "unprocessed_events": "select feed_no, event_id from change_feed f where not exists (select 1 from event_messages m where m.event_id = f.event_id and status = 'SUCCEEDED')",
