@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -177,35 +176,44 @@ def stitch(tables: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     block, or of one item's blocks (BLOCK ranges each), never an item's text.
     """
 
-    def whole_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
-        t = None
-        for e, c in zip(pdf["to"], pdf["cnt"]):
-            x = (np.asarray(e, np.int64), np.asarray(c, np.int64))
-            t = x if t is None else compose(t, x)
-        return pd.DataFrame({"item": [pdf["item"].iloc[0]], "blk": [pdf["blk"].iloc[0]], "n": [int(pdf["n"].sum())], "to": [t[0].astype(np.int32)], "cnt": [t[1]]})
-
-    def walk(pdf: pd.DataFrame, key: str, entry: int = 0, piece: int = 0, char0: int = 0) -> pd.DataFrame:
-        out = []
-        for item, k, n, e, c in pdf.sort_values(key)[["item", key, "n", "to", "cnt"]].itertuples(index=False):
-            out.append((item, k, entry, piece, char0))
-            if entry >= 0:
-                piece += int(c[entry])
-                entry = int(e[entry])
-            char0 += n
-        return pd.DataFrame(out, columns=["item", key, "entry", "first_piece", "char0"])
-
-    def in_block(ranges: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if ranges.empty or start.empty:
-            return pd.DataFrame({"item": [], "r": [], "entry": [], "first_piece": [], "char0": []}).astype({"item": object, "r": "int64", "entry": "int64", "first_piece": "int64", "char0": "int64"})
-        s = start.iloc[0]
-        return walk(ranges, "r", int(s["entry"]), int(s["first_piece"]), int(s["char0"]))
+    def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
+        """Rows of sorted partitions, a list for each group; tables are arrays."""
+        held: list[dict] = []
+        for b in batches:
+            single = [(c, b.column(c).to_pylist()) for c in b.schema.names if c not in ("to", "cnt")]
+            for i in range(b.num_rows):
+                row = {c: v[i] for c, v in single} | {c: b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("to", "cnt")}
+                if held and any(row[k] != held[0][k] for k in keys):
+                    yield held
+                    held = []
+                held.append(row)
+        if held:
+            yield held
+
+    def whole_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "item", "blk"):
+            to, cnt = functools.reduce(compose, ((x["to"].astype(np.int64), x["cnt"].astype(np.int64)) for x in g))
+            yield pa.RecordBatch.from_pylist([{"item": g[0]["item"], "blk": g[0]["blk"], "n": sum(x["n"] for x in g), "to": to.tolist(), "cnt": cnt.tolist()}], pa.schema([("item", pa.string()), ("blk", pa.int64()), ("n", pa.int64()), ("to", pa.list_(pa.int32())), ("cnt", pa.list_(pa.int64()))]))
+
+    def walk(batches: Iterator[pa.RecordBatch], key: str, *keys: str) -> Iterator[pa.RecordBatch]:
+        """Where the chain enters each member of a group, from where it enters the first."""
+        fields = pa.schema([("item", pa.string()), (key, pa.int64()), ("entry", pa.int64()), ("first_piece", pa.int64()), ("char0", pa.int64())])
+        for g in groups(batches, *keys):
+            entry, piece, char0 = (g[0].get(c, 0) for c in ("entry", "first_piece", "char0"))
+            out = []
+            for x in g:
+                out.append({"item": x["item"], key: x[key], "entry": entry, "first_piece": piece, "char0": char0})
+                if entry >= 0:
+                    piece += int(x["cnt"][entry])
+                    entry = int(x["to"][entry])
+                char0 += x["n"]
+            yield pa.RecordBatch.from_pylist(out, fields)
 
     out = "item string, {} bigint, entry bigint, first_piece bigint, char0 bigint"
-    t = tables.withColumn("blk", F.floor(F.col("r") / block))
-    blocks = t.groupBy("item", "blk").applyInPandas(whole_block, "item string, blk bigint, n bigint, to array<int>, cnt array<bigint>")
-    entries = blocks.groupBy("item").applyInPandas(lambda pdf: walk(pdf, "blk"), out.format("blk"))
-    return t.groupBy("item", "blk").cogroup(entries.groupBy("item", "blk")).applyInPandas(in_block, out.format("r"))
+    t = tables.withColumn("blk", F.floor(F.col("r") / block)).repartition("item", "blk")
+    blocks = t.sortWithinPartitions("item", "blk", "r").mapInArrow(whole_block, "item string, blk bigint, n bigint, to array<int>, cnt array<bigint>")
+    entries = blocks.repartition("item").sortWithinPartitions("item", "blk").mapInArrow(lambda b: walk(b, "blk", "item"), out.format("blk"))
+    return t.join(entries, ["item", "blk"]).repartition("item", "blk").sortWithinPartitions("item", "blk", "r").mapInArrow(lambda b: walk(b, "r", "item", "blk"), out.format("r"))
 
 
 def _emit(ranges: DataFrame, entries: DataFrame, rule: Rule) -> DataFrame:
