@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from time import sleep
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,7 +58,7 @@ class Run:
             except Exception:
                 if i + 1 == attempts:
                     raise
-                time.sleep(delay_s)
+                sleep(delay_s)
 
     def retries(self) -> dict[str, int]:
         return {k: max(n - 1, 0) for k, n in self.attempts.items()}

@@ -52,7 +52,7 @@ def test_ingest_degrades_and_aborts(spark, st, monkeypatch):
     def fail(*a, **k):
         raise OSError("down")
 
-    monkeypatch.setattr(workflow.time, "sleep", lambda s: None)
+    monkeypatch.setattr(workflow, "sleep", lambda s: None)
     monkeypatch.setattr(st.snapshots, "save", fail)
     run, _ = ingest.ingest(docs(spark), st, extractor(), embedder(dims=8), 1)
     assert run.state == "COMPLETED" and run.degrade_reasons == ["SNAPSHOT_UNAVAILABLE"] and run.retries()["snapshot-store"] == 2
@@ -277,7 +277,7 @@ def test_exhausted_retries_are_dead_letters(spark, tmp_path, monkeypatch):
         raise OSError("down")
 
     monkeypatch.setattr(changes, "apply_changes", down)
-    monkeypatch.setattr(workflow.time, "sleep", lambda s: None)
+    monkeypatch.setattr(workflow, "sleep", lambda s: None)
     one = spark.createDataFrame([(1, json.dumps({"event_id": "e", "file_path": "/a", "change_type": "created"}))], "seq bigint, payload string")
     ledger = stores.event_ledger(spark, str(tmp_path / "ledger"))
     assert changes.process_batch(one, None, None, ledger, None, None, 1, str(tmp_path / "dead")) == {"failed": 1} and len(tries) == 3
@@ -286,7 +286,7 @@ def test_exhausted_retries_are_dead_letters(spark, tmp_path, monkeypatch):
 
 
 def test_question_workflow(spark, st, tmp_path, monkeypatch):
-    monkeypatch.setattr(workflow.time, "sleep", lambda s: None)
+    monkeypatch.setattr(workflow, "sleep", lambda s: None)
     ingest.ingest(docs(spark), st, extractor(), embedder(dims=32), 1)
     q = spark.createDataFrame([(1, "s1", "Who knows Bob?"), (2, None, "Where is Emil?"), (3, " ", "And Dora?"), (4, "s1", " ")], "question_id bigint, session_id string, question string")
     path, calls = str(tmp_path / "turns"), []
