@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,29 @@ def encoding(name: str, folder: str, whole: bool = False) -> tiktoken.Encoding:
     return tiktoken.Encoding(name + "-whole" * whole, pat_str=r"[\s\S]+" if whole else PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def _probe() -> tiktoken.Encoding:
+    """An encoding that shows whether a character continues a word or a number: its first byte merges with `a` and `1`."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for first in (b"a", b"1"):
+        for b in range(0xC2, 0xF5):
+            ranks[first + bytes([b])] = len(ranks)
+    return tiktoken.Encoding("probe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.lru_cache(maxsize=100_000)
+def _stand_in(c: str) -> str:
+    """A character of the class in which the encoder has c."""
+    n = len(c.encode())
+    return next((x for x in "a1" if len(_probe().encode_ordinary(x + c)) == n), "!")
+
+
+def splittable(text: str) -> str:
+    """The text with stand-ins for characters so new that the encoder may not know their class, which is what splits text."""
+    new = {} if text.isascii() else {ord(c): _stand_in(c) for c in set(text) if unicodedata.category(c) == "Cn"}
+    return text.translate(new) if new else text
+
+
 class Joiner:
     """Encodes leaves and joins neighbours. A node is (ids, ends): ends[i] is the number of ids up to the end of pre-token i."""
 
@@ -76,7 +100,7 @@ class Joiner:
 
     def leaf(self, text: str) -> tuple[list[int], list[int]]:
         ids = self.enc.encode_ordinary(text)
-        at = np.cumsum([len(m.group().encode("utf-8", "surrogatepass")) for m in self.pattern.finditer(text)])
+        at = np.cumsum([len(text[m.start() : m.end()].encode("utf-8", "surrogatepass")) for m in self.pattern.finditer(splittable(text))])
         if not ids:
             return [], []
         to = np.cumsum(self.size[ids])
@@ -116,7 +140,7 @@ class Joiner:
             for k in range(len(own) - 1, min(n, len(eb))):
                 right += self.text(ib[eb[k - 1] if k else 0 : eb[k]])
                 own.append(len(left) + len(right))
-            cuts = [m.end() for m in self.pattern.finditer(left + right)]
+            cuts = [m.end() for m in self.pattern.finditer(splittable(left + right))]
             safe = cuts if len(own) > len(eb) else cuts[:-2]
             k = next((k for k, e in enumerate(own) if e in set(safe)), None)
             if k is not None:
@@ -162,8 +186,6 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
 
     Empty and null texts have the empty list. Strings of special tokens in a text are ordinary text. Every row comes out,
     repeated ones too; a null id stays null. Texts of more than `leaf` characters are encoded by leaves and joined.
-    Around a join, `regex` splits as the encoder does but for letters that Unicode has since version 17 only, which the encoder
-    takes for symbols: a token or two at a join beside such a letter may differ from the encoding in one pass.
     """
     ship(df.sparkSession, tokenizer, folder)
     extra = extra or []

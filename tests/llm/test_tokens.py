@@ -26,6 +26,15 @@ def test_leaves_and_tree(enc, seed):
             assert T.encode_text(t, leaf) == want, (t, leaf)
 
 
+@pytest.mark.parametrize("new", [0x1C89, 0xA7CB, 0x105C0, 0x16D70, 0x323B0, 0x3D000, 0x378, 0xE000])
+def test_characters_that_only_one_library_knows(enc, new):
+    for seed in range(40):
+        rng = random.Random(seed)
+        t = "".join(rng.choice(["a", " ", "1", "!", "\n", chr(new), chr(new), "'s"]) for _ in range(60))
+        for leaf in (1, 3, 7):
+            assert T.encode_text(t, leaf) == enc.encode_ordinary(t), t
+
+
 def test_one_word_and_one_blank_over_many_leaves(enc):
     rng = random.Random(4)
     for t in ("ab" * 3_000, "".join(rng.choice("abcdefgh") for _ in range(6_000)), "文字中" * 1_500, " " * 5_000 + "x", "x" + "\n" * 4_000, "é" * 3_000 + "'ll" * 900, "'" * 2_000 + "re"):
