@@ -107,3 +107,36 @@ def test_east_asian_encodings_read_as_latin(spark, right, text):
     rows = [(i, f"{t} ({i})") for i in range(40) for t in (text, *CLEAN[:3])]
     m = E.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert E.repair(text.encode(right).decode("latin_1"), m).text == text
+
+
+def test_all_clean_records_train_the_model(spark, corpus, model):
+    counts = E.np.zeros(E.TABLES, E.np.int64)
+    E._add(counts, [r["text"] for r in corpus.collect()], True)
+    assert (model.n1 == counts[: E.POINTS]).all() and (model.n2 == counts[E.POINTS : E.POINTS + E.CELLS2]).all() and (model.n3 == counts[E.POINTS + E.CELLS2 :]).all()
+    # Garbled ones don't, whether or not their text comes often.
+    bad = spark.createDataFrame([(10_000 + i, CLEAN[0].encode().decode("latin_1")) for i in range(30)], "doc_id bigint, text string")
+    assert (E.train(corpus.select("doc_id", "text").union(bad)).n1 == counts[: E.POINTS]).all()
+
+
+def test_validation_leaves_a_text_out_and_agrees_with_repair(corpus, model):
+    texts = [r["text"] for r in corpus.collect() if not r["text"].isascii()]
+    was = model.n1.copy(), model.n2.copy(), model.n3.copy(), model.total
+    for text, cells in zip(texts, E.cells_of(texts)):
+        runs = list(E.RUN.finditer(text))
+        bad = E.garble(text, E.zlib.crc32(text.encode()))
+        with model.without(cells):
+            alone = E.np.zeros(E.TABLES, E.np.int64)
+            E._add(alone, [text], True)
+            assert (was[0] - model.n1 == alone[: E.POINTS]).all() and (was[2] - model.n3 == alone[E.POINTS + E.CELLS2 :]).all()
+            changed = [3 * (E.repair(text, model, x, False).spans > 0) for x in E.MARGINS]
+            again = [E.repair(bad, model, x, False) for x in E.MARGINS]
+            m = runs[E.zlib.crc32(text.encode()) % len(runs)]
+            around = text[max(0, m.start() - 2) : m.start()], text[m.end() : m.end() + 2]
+            x = bad[m.start() : len(bad) - len(text) + m.end()]
+            beaten = model.score(around[0], m.group(), around[1]) - model.score(around[0], x, around[1]) > 12
+            beaten = beaten and not model.implausible(x, m.group())
+        assert beaten or not model.surely(around[0], m.group(), x, around[1], cells, 12.0)
+        wrong = [n + (bad != text and (r.spans == 0 if E.REPLACEMENT in bad else r.text != text)) for n, r in zip(changed, again)]
+        got = E.errors(text, model, runs, [r for r in runs if E.candidates(r.group())], cells)
+        assert [n - got[0] for n in got] == [n - wrong[0] for n in wrong]
+    assert all((a == b).all() for a, b in zip(was, (model.n1, model.n2, model.n3))) and model.total == was[3]
